@@ -18,8 +18,8 @@ def canonical_repo(col: Column | str) -> Column:
     s = F.regexp_replace(s, r"^(?:[a-z][a-z0-9+.-]*://[^/]+/|[^@/:]+@[^:/]+:)", "")
     s = F.regexp_replace(s, r"/+$", "")
     s = F.regexp_replace(s, r"\.git$", "")
-    s = F.when(F.instr(s, "___") > 0, s).otherwise(F.regexp_replace(s, r"^([^/]+)/(.+)$", "$1___$2"))
-    return F.when(s.rlike(r"^.+?___.+$"), s)
+    s = F.regexp_replace(s, r"^((?:(?!___)[^/])+)/(.+)$", "$1___$2")
+    return F.nullif(F.regexp_extract(s, r"^.+?___.+$", 0), F.lit(""))
 
 
 def repo_owner(canonical: Column | str) -> Column:
