@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import capping, splits
+from quarry.functions.names import canonical_repo
+from quarry.llm import capping, neardup, overlap, spans, splits
 from quarry.workspace import Workspace
 
 
@@ -39,10 +40,59 @@ def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capping.cap_records(_records(spark, sf_dir), Workspace(spark, "p7")).where("kept").select("record_id", F.col("key").alias("repo"), "score")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.span_pairs(*spans.shared_spans(_records(spark, sf_dir), Workspace(spark, "p3")))
+
+
+def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _records(spark, sf_dir)
+    return spans.shared_share(*spans.shared_spans(records, Workspace(spark, "p3")), records)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = overlap.record_pairs(*overlap.cross_split(_records(spark, sf_dir), Workspace(spark, "p5"), 0.7))
+    return pairs.select(F.least("left_id", "right_id").alias("record_id_a"), F.greatest("left_id", "right_id").alias("record_id_b"))
+
+
+def p5_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlapping pair with the names of both sides and the words covered."""
+    records = _records(spark, sf_dir)
+    pairs = overlap.record_pairs(*overlap.cross_split(records, Workspace(spark, "p5"), 0.7))
+    names = records.select("record_id", F.lower(F.trim("split_name")).alias("split"), "repo_name", "func_name")
+    left = names.select(*[F.col(c).alias("left_id" if c == "record_id" else f"train_{c}") for c in names.columns]).drop("train_split")
+    right = names.select(*[F.col(c).alias("right_id" if c == "record_id" else f"eval_{c}") for c in names.columns])
+    return pairs.join(left, "left_id").join(right, "right_id").withColumnsRenamed({"left_id": "train_id", "right_id": "eval_id"})
+
+
+def p5_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping pairs and evaluation records by evaluation split and repository."""
+    rows = p5_overlaps(spark, sf_dir)
+    return rows.groupBy("eval_split", canonical_repo("eval_repo_name").alias("repo")).agg(
+        F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_records"), F.avg("coverage_right").alias("avg_coverage")
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(_records(spark, sf_dir), Workspace(spark, "p6"), ["orig_context", "eval_script"], 0.7)
+    return neardup.expand_pairs(*found).select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b")).distinct()
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(_records(spark, sf_dir), Workspace(spark, "p6"), ["orig_context", "eval_script"], 0.7)
+    return neardup.membership(*found)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_splits": p2_splits,
     "p2_split_report": p2_split_report,
+    "p3_found": p3_found,
+    "p3_shared": p3_shared,
+    "p5_found": p5_found,
+    "p5_overlaps": p5_overlaps,
+    "p5_overlap_report": p5_overlap_report,
+    "p6_found": p6_found,
+    "p6_groups": p6_groups,
     "p7_found": p7_found,
     "p7_kept": p7_kept,
 }
