@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.names import canonical_repo
-from quarry.llm import capping, neardup, overlap, spans, splits
+from quarry.llm import budget, capping, mixing, neardup, overlap, packing, spans, splits
 from quarry.workspace import Workspace
 
 
@@ -20,6 +20,14 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "checked_test_set_final")
 
 
+def p1_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget.token_totals(_records(spark, sf_dir), _table(spark, sf_dir, "repos"), Workspace(spark, "p1"))
+
+
+def p1_record_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget.record_tokens(_records(spark, sf_dir), Workspace(spark, "p1"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.named_groups(_records(spark, sf_dir), Workspace(spark, "p2"))
 
@@ -82,7 +90,32 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.membership(*found)
 
 
+def _sizes(spark: SparkSession, sf_dir: str, ws: Workspace) -> DataFrame:
+    return ws.save(packing.document_tokens(_table(spark, sf_dir, "documents"), ws), "sizes")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "p8")
+    return packing.fill_containers(_sizes(spark, sf_dir, ws), ws)
+
+
+def p8_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, sf_dir))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "p9")
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"), _sizes(spark, sf_dir, ws), _table(spark, sf_dir, "source_targets"), ws)[0]
+
+
+def p9_mix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "p9")
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"), _sizes(spark, sf_dir, ws), _table(spark, sf_dir, "source_targets"), ws)[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_token_totals": p1_token_totals,
+    "p1_record_tokens": p1_record_tokens,
     "p2_found": p2_found,
     "p2_splits": p2_splits,
     "p2_split_report": p2_split_report,
@@ -95,6 +128,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_groups": p6_groups,
     "p7_found": p7_found,
     "p7_kept": p7_kept,
+    "p8_containers": p8_containers,
+    "p8_fill_report": p8_fill_report,
+    "p9_mix": p9_mix,
+    "p9_mix_report": p9_mix_report,
 }
 
 #: DuckDB's form of the canonical repository name.
