@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.names import canonical_repo
-from quarry.llm import budget, capping, mixing, neardup, overlap, packing, spans, splits
+from quarry.llm import budget, capping, credentials, mixing, neardup, overlap, packing, spans, splits
 from quarry.workspace import Workspace
 
 
@@ -57,6 +57,19 @@ def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(*spans.shared_spans(records, Workspace(spark, "p3")), records)
 
 
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "p4")
+    return ws.save(credentials.scored(_records(spark, sf_dir), ws), "scored")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.credential_lines(_marked(spark, sf_dir))
+
+
+def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.masked(_records(spark, sf_dir), _marked(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = overlap.record_pairs(*overlap.cross_split(_records(spark, sf_dir), Workspace(spark, "p5"), 0.7))
     return pairs.select(F.least("left_id", "right_id").alias("record_id_a"), F.greatest("left_id", "right_id").alias("record_id_b"))
@@ -87,7 +100,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(_records(spark, sf_dir), Workspace(spark, "p6"), ["orig_context", "eval_script"], 0.7)
-    return neardup.membership(*found)
+    names = F.array(F.lit("orig_context"), F.lit("eval_script"))
+    return neardup.membership(*found).withColumn("field", names[F.col("field")])
 
 
 def _sizes(spark: SparkSession, sf_dir: str, ws: Workspace) -> DataFrame:
@@ -121,6 +135,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_split_report": p2_split_report,
     "p3_found": p3_found,
     "p3_shared": p3_shared,
+    "p4_found": p4_found,
+    "p4_masked": p4_masked,
     "p5_found": p5_found,
     "p5_overlaps": p5_overlaps,
     "p5_overlap_report": p5_overlap_report,
