@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.names import canonical_repo
-from quarry.llm import budget, capping, credentials, mixing, neardup, overlap, packing, spans, splits
+from quarry.llm import budget, capping, credentials, mixing, neardup, overlap, packing, spans, splits, subjects
 from quarry.workspace import Workspace
 
 
@@ -127,6 +127,20 @@ def p9_mix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), _sizes(spark, sf_dir, ws), _table(spark, sf_dir, "source_targets"), ws)[1]
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "p10")
+    found = subjects.document_subjects(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "subject_labels"), _table(spark, sf_dir, "subject_areas"), ws)
+    return ws.save(found, "found")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p10_make_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.corpus_make_up(_subjects(spark, sf_dir), _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_token_totals": p1_token_totals,
     "p1_record_tokens": p1_record_tokens,
@@ -148,6 +162,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_fill_report": p8_fill_report,
     "p9_mix": p9_mix,
     "p9_mix_report": p9_mix_report,
+    "p10_found": p10_found,
+    "p10_make_up": p10_make_up,
 }
 
 #: DuckDB's form of the canonical repository name.
