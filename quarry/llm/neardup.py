@@ -9,11 +9,11 @@ plus threshold; each anchor compares its residents with its visitors.
 
 4,096 anchors alone would hold a fixed share of a growing collection, so the
 covering is repeated over ``TABLES`` independent fingerprints, and in each of them
-laid out inside shards: texts that agree in one full min-hash symbol.  A shard with
+laid out inside shards: texts that agree in two full min-hash symbols.  A shard with
 a single text holds no pair and is dropped before replication.
 
-Chance that a pair meets in at least one table, by its similarity: 0.70 0.996,
-0.75 0.9996, 0.80 and more over 0.9999 (one table: 0.373, 0.480, 0.600).  Whatever
+Chance that a pair meets in at least one table, by its similarity: 0.70 0.992,
+0.75 0.9992, 0.80 and more over 0.9999 (one table: 0.261, 0.360, 0.480).  Whatever
 meets is checked exactly.
 
 Texts with the same shingle set form one class and enter once, through the member
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from quarry.llm.shingles import WordHasher, jaccard_pairs, mix, set_signature, shingle_set, word_hashes
 from quarry.workspace import Workspace
 
-TABLES = 12
+TABLES = 16
+SYMBOLS = 2
 BITS = 64
 LENGTH = 23
 RADIUS = 3
@@ -82,13 +83,15 @@ def _syndrome_column(code: Column) -> Column:
 def sketch(texts: DataFrame) -> DataFrame:
     """Fingerprints of ``texts(field, id, text)``; texts under three words are left out.
 
-    ``symbols[t]`` is the shard and ``codes[t]`` the 23-bit fingerprint of table t.
+    ``shards[t]`` is the hash of the symbols and ``codes[t]`` the 23-bit fingerprint of table t.
     """
     rng = np.random.default_rng(11)
-    odd = rng.integers(1, 2**63, TABLES + BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    odd = rng.integers(1, 2**63, TABLES * SYMBOLS + BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     places = np.stack([rng.choice(BITS, LENGTH, replace=False) for _ in range(TABLES)])
     weights = (1 << np.arange(LENGTH)).astype(np.int64)
     bit_weights = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
+    salt = mix(np.arange(1, TABLES + 1, dtype=np.uint64))
+    split = TABLES * SYMBOLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHasher()
@@ -99,34 +102,39 @@ def sketch(texts: DataFrame) -> DataFrame:
                 if len(grams) == 0:
                     continue
                 low = (odd[:, None] * grams[None, :]).min(axis=1) if len(grams) < 4096 else np.array([(o * grams).min() for o in odd])
-                bits = mix(low[TABLES:]) & np.uint64(1)
+                bits = mix(low[split:]) & np.uint64(1)
+                shards = salt.copy()
+                for part in low[:split].reshape(SYMBOLS, TABLES):
+                    shards = mix(shards ^ part)
                 codes = bits.astype(np.int64)[places] @ weights
-                rows.append((field, rid, *set_signature(grams), len(grams), low[:TABLES].view(np.int64), codes.astype(np.int32), int((bits * bit_weights).sum().view(np.int64))))
+                rows.append((field, rid, *set_signature(grams), len(grams), shards.view(np.int64), codes.astype(np.int32), int((bits * bit_weights).sum().view(np.int64))))
             cols = list(zip(*rows)) if rows else [()] * 8
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()]
-            names = ["field", "id", "sig_a", "sig_b", "n", "symbols", "codes", "sketch"]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()]
+            names = ["field", "id", "sig_a", "sig_b", "n", "shards", "codes", "sketch"]
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], names)
 
-    schema = "field string, id bigint, sig_a bigint, sig_b bigint, n int, symbols array<bigint>, codes array<int>, sketch bigint"
+    schema = "field int, id bigint, sig_a bigint, sig_b bigint, n int, shards array<bigint>, codes array<int>, sketch bigint"
     return texts.select("field", "id", "text").where("text is not null").mapInArrow(run, schema)
 
 
 def anchor_candidates(reps: DataFrame, ws: Workspace, threshold: float, reach: int = RADIUS + THRESHOLD) -> DataFrame:
     """Pairs ``(field, a, b)`` of representatives that met at an anchor."""
     spark = reps.sparkSession
-    rows = reps.select("field", "id", "n", "sketch", F.posexplode(F.arrays_zip("symbols", "codes")).alias("t", "z"))
-    rows = rows.select("field", "id", "n", "sketch", "t", F.col("z.symbols").alias("symbol"), F.col("z.codes").alias("code"))
-    shards = rows.groupBy("field", "t", "symbol").agg(F.count("*").alias("members")).where("members >= 2").drop("members")
-    live = ws.save(rows.join(shards, ["field", "t", "symbol"], "left_semi"), "live")
+    rows = reps.select("field", "id", F.posexplode("shards").alias("t", "shard"))
+    crowded = rows.groupBy("field", "shard").agg(F.count("*").alias("members")).where("members >= 2").select("field", "shard")
+    live = ws.save(rows.join(crowded, ["field", "shard"], "left_semi"), "live")
     # 2,048 rows whatever the input
     cosets = spark.createDataFrame([(s, p) for s, p in coset_patterns(reach).items()], "syndrome int, patterns array<int>")
-    placed = live.withColumn("syndrome", _syndrome_column(F.col("code"))).join(F.broadcast(cosets), "syndrome")
-    placed = placed.select("field", "t", "symbol", "id", "n", "sketch", "code", F.explode("patterns").alias("pattern"))
-    placed = placed.select("field", "t", "symbol", "id", "n", "sketch", F.col("code").bitwiseXOR(F.col("pattern")).alias("anchor"), (F.bit_count("pattern") <= RADIUS).alias("home"))
-    at = ["field", "t", "symbol", "anchor"]
-    homes = placed.where("home").select(*at, F.col("id").alias("h_id"), F.col("n").alias("h_n"), F.col("sketch").alias("h_sketch"))
-    meet = placed.join(homes, at).where(
-        (F.col("id") != F.col("h_id"))
+    placed = live.join(reps.select("field", "id", "n", "sketch", "codes"), ["field", "id"]).withColumn("code", F.col("codes")[F.col("t")])
+    placed = placed.withColumn("syndrome", _syndrome_column(F.col("code"))).join(F.broadcast(cosets), "syndrome")
+    placed = placed.select("field", "shard", "id", "n", "sketch", "code", F.explode("patterns").alias("pattern"))
+    # one hash for shard and anchor: a collision only adds a pair to check
+    anchor = F.xxhash64("field", "shard", F.col("code").bitwiseXOR(F.col("pattern")))
+    placed = placed.select("field", "id", "n", "sketch", anchor.alias("anchor"), (F.bit_count("pattern") <= RADIUS).alias("home"))
+    homes = placed.where("home").select("anchor", F.col("field").alias("h_field"), F.col("id").alias("h_id"), F.col("n").alias("h_n"), F.col("sketch").alias("h_sketch"))
+    meet = placed.drop("home").join(homes, "anchor").where(
+        (F.col("field") == F.col("h_field"))
+        & (F.col("id") != F.col("h_id"))
         & (F.least("n", "h_n") >= F.lit(threshold) * F.greatest("n", "h_n"))
         & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("h_sketch"))) <= MAX_SKETCH_DISTANCE)
     )
@@ -134,8 +142,8 @@ def anchor_candidates(reps: DataFrame, ws: Workspace, threshold: float, reach: i
 
 
 def long_texts(records: DataFrame, fields: list[str], id_col: str = "record_id") -> DataFrame:
-    """One row ``(field, id, text)`` for each text of the given columns."""
-    cells = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields]
+    """One row ``(field, id, text)`` for each text of the given columns; ``field`` is the column's place."""
+    cells = [F.struct(F.lit(i).alias("field"), F.col(f).cast("string").alias("text")) for i, f in enumerate(fields)]
     return records.select(F.col(id_col).cast("bigint").alias("id"), F.explode(F.array(*cells)).alias("c")).select("c.field", "id", "c.text")
 
 
@@ -148,9 +156,11 @@ def near_duplicates(records: DataFrame, ws: Workspace, fields: list[str], thresh
     texts = long_texts(records, fields, id_col)
     sketches = ws.save(sketch(texts), "sketches")
     key = ["field", "sig_a", "sig_b"]
-    reps = sketches.groupBy(*key).agg(F.min_by(F.struct("n", "symbols", "codes", "sketch"), "id").alias("s"), F.min("id").alias("id"))
-    candidates = ws.save(anchor_candidates(reps.select("field", "id", "s.*"), ws, threshold), "candidates")
+    reps = sketches.groupBy(*key).agg(F.min_by(F.struct("n", "shards", "codes", "sketch"), "id").alias("s"), F.min("id").alias("id"))
+    reps = ws.save(reps.select("field", "id", "s.*"), "reps")
+    candidates = ws.save(anchor_candidates(reps, ws, threshold), "candidates")
     ws.drop("live")
+    ws.drop("reps")
     ids = ws.save(candidates.select("field", F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     links = ws.save(jaccard_pairs(candidates, texts, ids, threshold), "links")
     firsts = sketches.groupBy(*key).agg(F.min("id").alias("rep"))

@@ -108,7 +108,7 @@ def jaccard_pairs(pairs: DataFrame, texts: DataFrame, ids: DataFrame, threshold:
             sets = [shingle_set(word_hashes(t, memo)).view(np.int64) for t in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["field", "id", "grams"])
 
-    sets = keep_keys(texts.select("field", "id", "text"), ids, ["field", "id"]).mapInArrow(shingles, "field string, id bigint, grams array<bigint>")
+    sets = keep_keys(texts.select("field", "id", "text"), ids, ["field", "id"]).mapInArrow(shingles, "field int, id bigint, grams array<bigint>")
     left = sets.select("field", F.col("id").alias("a"), F.col("grams").alias("ga"))
     right = sets.select("field", F.col("id").alias("b"), F.col("grams").alias("gb"))
     both = pairs.select("field", "a", "b").join(left, ["field", "a"]).join(right, ["field", "b"])
