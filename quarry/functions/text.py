@@ -16,6 +16,11 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col: Column | str) -> Column:
     """Removes all Unicode blanks at both ends."""
     return F.regexp_replace(_c(col), BLANK, "")

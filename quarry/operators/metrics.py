@@ -91,9 +91,11 @@ def normalise_for_bleu(col: Column) -> Column:
 
 def clipped_matches(pred: Column, ref: Column, n: int) -> Column:
     """How many n-grams of the prediction are in the reference, each at most as often as there."""
-    p, r = _grams(pred, n), _grams(ref, n)
+    from quarry.functions.text import let
+
     count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-    return F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, g: acc + F.least(count(p, g), count(r, g)))
+    both = F.struct(_grams(pred, n).alias("p"), _grams(ref, n).alias("r"))
+    return let(both, lambda z: F.aggregate(F.array_distinct(z["p"]), F.lit(0), lambda acc, g: acc + F.least(count(z["p"], g), count(z["r"], g))))
 
 
 def smoothed_bleu(pred: Column, ref: Column, most: int = 4) -> Column:
@@ -102,16 +104,18 @@ def smoothed_bleu(pred: Column, ref: Column, most: int = 4) -> Column:
     Precisions of 2..n grams get one added to both counts; the brevity penalty is
     min(0, 1 - (ref + 1) / (pred + 1)).  No common word gives 0.
     """
-    logs = []
-    for n in range(1, most + 1):
-        hit, all_ = clipped_matches(pred, ref, n), F.greatest(F.size(pred) - n + 1, F.lit(0))
-        extra = 0 if n == 1 else 1
-        logs.append(F.ln((hit + extra).cast("double") / (all_ + extra)))
-    total = logs[0]
-    for x in logs[1:]:
-        total = total + x
-    brevity = F.least(F.lit(0.0), F.lit(1.0) - (F.size(ref) + 1) / (F.size(pred) + 1))
-    return F.when((F.size(pred) == 0) | (clipped_matches(pred, ref, 1) == 0), F.lit(0.0)).otherwise(F.exp(total / most + brevity))
+    from quarry.functions.text import let
+
+    def score(z: Column) -> Column:
+        p, r = z["p"], z["r"]
+        total = F.lit(0.0)
+        for n in range(1, most + 1):
+            extra = 0 if n == 1 else 1
+            total = total + F.ln((clipped_matches(p, r, n) + extra).cast("double") / (F.greatest(F.size(p) - n + 1, F.lit(0)) + extra))
+        brevity = F.least(F.lit(0.0), F.lit(1.0) - (F.size(r) + 1) / (F.size(p) + 1))
+        return F.when((F.size(p) == 0) | ~F.arrays_overlap(p, r), F.lit(0.0)).otherwise(F.exp(total / most + brevity))
+
+    return let(F.struct(pred.alias("p"), ref.alias("r")), score)
 
 
 def answers_agree(output: Column, expected: Column) -> Column:
