@@ -179,9 +179,41 @@ WITH r AS (
 k AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, record_id) AS rn FROM r)
 """
 
-_BASE = r"regexp_replace(trim(string_split(idx, '_')[1]), '^0+(.)', '\1')"
+_GROUPS = f"""
+WITH RECURSIVE r AS (
+  SELECT record_id, nullif({_REPO.format(c="repo_name")}, '') AS repo,
+         nullif(regexp_replace(regexp_replace(string_split(idx, '_')[1], '^\\s+|\\s+$', '', 'g'), '^0+(.)', '\\1'), '') AS base
+  FROM checked_test_set_final),
+k AS (SELECT record_id, repo, 'o:' || string_split(repo, '___')[1] AS o, 'b:' || base AS b FROM r),
+e AS (SELECT DISTINCT coalesce(o, b) AS x, coalesce(b, o) AS y FROM k WHERE coalesce(o, b) IS NOT NULL),
+f AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+c AS (SELECT x AS node, x AS seen FROM f UNION SELECT c.node, f.y FROM c JOIN f ON c.seen = f.x),
+m AS (SELECT node, min(seen) AS root FROM c GROUP BY node),
+g AS (SELECT k.record_id, k.repo, m.root FROM k JOIN m ON coalesce(k.b, k.o) = m.node),
+h AS (SELECT root, min(repo) AS group_key, count(*) AS n FROM g GROUP BY root)
+"""
+
+_SHINGLES = """
+w AS (SELECT id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS t FROM texts WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT id, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS g FROM w, unnest(range(1, len(t) - 1)) AS u(i)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+found AS (SELECT c.a, c.b FROM c JOIN n x ON x.id = c.a JOIN n y ON y.id = c.b WHERE c.k >= 0.7 * (x.n + y.n - c.k))
+"""
 
 ORACLES: dict[str, str] = {
+    "p2_found": _GROUPS + "SELECT record_id, group_key FROM g JOIN h ON g.root = h.root WHERE n >= 2 AND group_key IS NOT NULL",
+    "p3_found": """
+WITH t AS (SELECT record_id, orig_context AS x FROM checked_test_set_final WHERE len(orig_context) >= 160),
+w AS (SELECT DISTINCT record_id, md5(substr(x, i, 160)) AS h FROM t, unnest(range(1, len(x) - 158)) AS u(i)),
+m AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+v AS (SELECT record_id, h FROM w WHERE h IN (SELECT h FROM m))
+SELECT DISTINCT a.record_id AS record_id_a, b.record_id AS record_id_b FROM v a JOIN v b ON a.h = b.h AND a.record_id < b.record_id""",
+    "p5_found": "WITH texts AS (SELECT record_id AS id, orig_context AS text FROM checked_test_set_final), " + _SHINGLES + """,
+sp AS (SELECT record_id, lower(trim(split_name)) AS split FROM checked_test_set_final)
+SELECT a AS record_id_a, b AS record_id_b FROM found JOIN sp p ON p.record_id = a JOIN sp q ON q.record_id = b
+WHERE (p.split = 'train' AND q.split IN ('valid', 'test')) OR (q.split = 'train' AND p.split IN ('valid', 'test'))""",
+    "p6_found": "SELECT a AS record_id_a, b AS record_id_b FROM (WITH texts AS (SELECT record_id AS id, orig_context AS text FROM checked_test_set_final), " + _SHINGLES + "SELECT * FROM found) UNION SELECT a, b FROM (WITH texts AS (SELECT record_id AS id, eval_script AS text FROM checked_test_set_final), " + _SHINGLES + "SELECT * FROM found)",
     "p7_found": _RANKED + "SELECT record_id FROM k WHERE repo IS NOT NULL AND rn > 5",
     "p7_kept": _RANKED + "SELECT record_id, repo, score FROM k WHERE repo IS NULL OR rn <= 5",
 }
