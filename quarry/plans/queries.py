@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.names import base_idx, canonical_label, canonical_repo
+from quarry.functions import codetext
 from quarry.functions.pyast import function_table, per_row, same_behaviour_tree, token_count
-from quarry.operators import chat, filters, graph, joins, metrics, retrieval, sampling
+from quarry.operators import chat, evaluation, filters, graph, joins, metrics, retrieval, sampling, slicing
 from quarry.plans.runners import cached_calls, executed
 from quarry.workspace import Workspace
 
@@ -459,3 +460,38 @@ def cached_model_calls(s, d):
     p = table(s, d, "generations").where("instruction is not null").select(F.md5("instruction").alias("key"), F.col("instruction").alias("prompt")).dropDuplicates(["key"])
     cache = table(s, d, "generations").where("instruction is not null and size(generations) > 0").groupBy(F.md5("instruction").alias("key")).agg(F.min("instruction").alias("prompt"), F.min("generations").alias("answers")).withColumn("error", F.lit(None).cast("string"))
     return cached_calls(p, cache)
+
+
+def _context_files(s, d):
+    """The Python blocks of each context as the files of a small repository."""
+    t = table(s, d, "checked_test_set_final").select("record_id", "func_name", "func_path", F.posexplode(T.fenced_blocks("orig_context")).alias("pos", "b"))
+    path = F.regexp_extract(F.col("b.body"), r"^##\s+(\S+)", 1)
+    return t.where(path.endswith(".py")).select(F.col("record_id").cast("string").alias("repo_id"), T.path_module(path).alias("module"), F.col("b.body").alias("code"), "func_name", "pos")
+
+
+@query()
+def sliced_contexts(s, d):
+    """Dependency slices of the delivered functions over the files of their own context."""
+    files = _context_files(s, d)
+    last = files.groupBy("repo_id").agg(F.max_by("module", "pos").alias("module"), F.first("func_name").alias("name"))
+    return slicing.contexts(files.select("repo_id", "module", "code"), last).select("repo_id", "module", "name", F.length("context").alias("n_chars"))
+
+
+@query()
+def built_call_graph(s, d):
+    return slicing.call_graph(_context_files(s, d).select("repo_id", "module", "code"))
+
+
+@query()
+def evaluation_scripts(s, d):
+    """Scripts with the generated answer in place of the function."""
+    g = table(s, d, "generations").select(base_idx("idx").alias("base"), F.posexplode("generations").alias("pos", "answer"))
+    r = table(s, d, "checked_test_set_final").withColumn("base", base_idx("idx")).groupBy("base").agg(F.min_by(F.struct("eval_script", "func_name"), "record_id").alias("r"))
+    j = g.join(r, "base").select("base", "pos", "answer", "r.*")
+    return j.select("base", "pos", per_row(codetext.evaluation_script, "string", "eval_script", "answer", "func_name").alias("script"), per_row(codetext.target_body, "string", "answer", T.function_part("func_name")).alias("target"))
+
+
+@query()
+def rouge_l(s, d):
+    g = table(s, d, "generations").where("size(generations) >= 2").select("idx", T.white_tokens(F.get("generations", F.lit(0))).alias("a"), T.white_tokens(F.get("generations", F.lit(1))).alias("b"))
+    return g.select("idx", F.round(evaluation.lcs_rouge(F.col("a"), F.col("b")), 9).alias("rouge_l"))
