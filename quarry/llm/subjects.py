@@ -131,10 +131,29 @@ def _training_sets(documents: DataFrame, labels: DataFrame, n_subjects: int, ws:
     return ws.save(texts.repartition(PARTS, "doc_id").select("text", "places").mapInArrow(run, "data binary, n bigint"), "training")
 
 
+class _Ids(dict):
+    """From a run of letters to the numbers of its words; new words get a row of contributions."""
+
+    def __init__(self, model: "Model"):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, run: str) -> list[int]:
+        self[run] = found = [self.model.number(w.lower()) for w in _HUMP.split(run) if len(w) > 1]
+        return found
+
+
 class Model:
+    """Linear after averaging: each word contributes a fixed amount to each output."""
+
     def __init__(self, table: np.ndarray, out: np.ndarray, bias: np.ndarray):
         self.table, self.out, self.bias = table, out, bias
-        self.memo: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.rows = np.zeros((1024, self.out.shape[1]), np.float32)
+        self.runs = _Ids(self)
 
     def __getstate__(self):
         return {"table": self.table.astype(np.float16), "out": self.out, "bias": self.bias}
@@ -142,23 +161,33 @@ class Model:
     def __setstate__(self, state):
         self.__init__(state["table"].astype(np.float32), state["out"], state["bias"])
 
-    def word(self, w: str) -> np.ndarray:
-        """The contribution of a word to the outputs (the model is linear after averaging)."""
-        found = self.memo.get(w)
-        if found is None:
-            if len(self.memo) > 300_000:
-                self.memo.clear()
-            self.memo[w] = found = self.table[rows_of(w)].mean(axis=0) @ self.out
-        return found
-
-    def score(self, bags: list[list[str]]) -> np.ndarray:
-        p = np.zeros((len(bags), self.out.shape[1]), np.float32)
-        for i, ws in enumerate(bags):
-            if ws:
-                p[i] = sum(map(self.word, ws)) / len(ws) + self.bias
-            else:
-                p[i] = -30
-        return 1 / (1 + np.exp(-np.clip(p, -30, 30)))
+    def number(self, w: str) -> int:
+        n = self.numbers.get(w)
+        if n is None:
+            n = self.numbers[w] = len(self.numbers)
+            if n == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[n] = self.table[rows_of(w)].mean(axis=0) @ self.out
+        return n
+
+    def score(self, parts: list[str]) -> np.ndarray:
+        """Probabilities of units by subject; a unit without words has none."""
+        if len(self.runs) > 400_000:
+            self._forget()
+        flat: list[int] = []
+        ends = np.empty(len(parts), np.int64)
+        runs, more = self.runs, flat.extend
+        for i, part in enumerate(parts):
+            for run in _WORD.findall(part):
+                more(runs[run])
+            ends[i] = len(flat)
+        sizes = np.diff(ends, prepend=0)
+        some = np.flatnonzero(sizes)
+        p = np.zeros((len(parts), self.out.shape[1]), np.float32)
+        if len(some):
+            sums = np.add.reduceat(self.rows[flat], (ends - sizes)[some])
+            p[some] = 1 / (1 + np.exp(-np.clip(sums / sizes[some, None] + self.bias, -30, 30)))
+        return p
 
 
 def train(documents: DataFrame, labels: DataFrame, n_subjects: int, ws: Workspace, train_docs: int = TRAIN_DOCS, steps: int = STEPS) -> Model | None:
@@ -224,16 +253,21 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            ids, found, shares = [], [], []
+            docs, counts, parts = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = units(text)
-                if not parts:
-                    continue
-                share = (m.score([words(u) for u in parts]) >= cutoff).mean(axis=0)
-                for k in np.flatnonzero(share >= min_share - 1e-9):
-                    ids.append(doc)
+                own = units(text)
+                if own:
+                    docs.append(doc)
+                    counts.append(len(own))
+                    parts += own
+            ids, found, shares = [], [], []
+            if docs:
+                hits = np.add.reduceat((m.score(parts) >= cutoff).astype(np.float32), np.cumsum([0, *counts[:-1]]))
+                share = hits / np.array(counts, np.float32)[:, None]
+                for d, k in zip(*np.nonzero(share >= min_share - 1e-6)):
+                    ids.append(docs[d])
                     found.append(titles[k])
-                    shares.append(float(share[k]))
+                    shares.append(float(share[d, k]))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(shares, pa.float64())], ["doc_id", "subject", "share"])
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").mapInArrow(run, "doc_id bigint, subject string, share double")
