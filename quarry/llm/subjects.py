@@ -38,7 +38,7 @@ DIM = 16
 STEPS = 60
 WARM = 25
 MIN_SHARE = 0.2
-CUTOFF = 0.4
+CUTOFF = 0.25
 #: Keeps rows that few units touch from being learned by heart.
 RARE = 5e-6
 _WORD = re.compile(r"[^\W\d_]+")
