@@ -35,7 +35,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, id_col: str, vec_col: s
     Queries are compared with the base in blocks: the query set is replicated, the base is
     read once, and every task keeps its k best rows of a query before the shuffle.
     """
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("query_value"))
-    d = base.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("doc_value"))
-    pairs = d.join(q, F.col("query_id") != F.col("doc_id")).select("query_id", "doc_id", F.round(cosine(F.col("query_value"), F.col("doc_value")), 5).alias("score"))
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("query_value"), F.sqrt(dot(F.col(vec_col), F.col(vec_col))).alias("query_norm"))
+    d = base.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("doc_value"), F.sqrt(dot(F.col(vec_col), F.col(vec_col))).alias("doc_norm"))
+    pairs = d.join(q, F.col("query_id") != F.col("doc_id")).select("query_id", "doc_id", F.round(dot(F.col("query_value"), F.col("doc_value")) / F.nullif(F.col("query_norm") * F.col("doc_norm"), F.lit(0.0)), 5).alias("score"))
     return pairs.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("place") <= k)

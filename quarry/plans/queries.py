@@ -13,6 +13,7 @@ from quarry.functions.names import base_idx, canonical_label, canonical_repo
 from quarry.functions import codetext
 from quarry.functions.pyast import function_table, per_row, same_behaviour_tree, token_count
 from quarry.operators import chat, evaluation, filters, graph, joins, metrics, retrieval, sampling, slicing
+from quarry.plans.sized import spread
 from quarry.plans.runners import cached_calls, executed
 from quarry.workspace import Workspace
 
@@ -353,7 +354,7 @@ def stop_token_cut(s, d):
 @query(f"""WITH b AS (SELECT DISTINCT text AS item FROM documents WHERE {_SRC} = 'commit_message' AND len(text) >= 40)
 SELECT DISTINCT d.doc_id AS id FROM documents d JOIN b ON contains(d.text, b.item)""")
 def decontaminate(s, d):
-    t = table(s, d, "documents")
+    t = spread(table(s, d, "documents"))
     items = t.where((canonical_label("source") == "commit_message") & (F.length("text") >= 40)).select(F.col("text").alias("item")).distinct()
     return filters.contaminated(t.where("text is not null").select(F.col("doc_id").alias("id"), "text"), items)
 
@@ -411,7 +412,7 @@ s AS (SELECT query_id, vec_id AS doc_id, round(list_dot_product(qv::DOUBLE[], em
 SELECT query_id, doc_id, score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM s) WHERE place <= 3""")
 def nearest_vectors(s, d):
     e = table(s, d, "embeddings")
-    return retrieval.nearest(e.where(F.col("vec_id") % 20 == 0), e, 3, "vec_id", "embedding")
+    return retrieval.nearest(e.where(F.col("vec_id") % 20 == 0), spread(e), 3, "vec_id", "embedding")
 
 
 @query(f"""WITH b AS (SELECT {REPO} AS repo, coverage_rate, sandbox_ast_check FROM checked_test_set_final)
@@ -429,7 +430,7 @@ def group_to_list(s, d):
 
 @query()
 def bleu_scores(s, d):
-    g = table(s, d, "generations").where("instruction is not null").select("idx", F.posexplode("generations").alias("pos", "a")).where("a is not null")
+    g = spread(table(s, d, "generations")).where("instruction is not null").select("idx", F.posexplode("generations").alias("pos", "a")).where("a is not null")
     r = table(s, d, "checked_test_set_final").select(base_idx("idx").alias("idx"), "orig_func").groupBy("idx").agg(F.min("orig_func").alias("ref"))
     return g.withColumn("idx", base_idx("idx")).join(r, "idx").select("idx", "pos", F.round(metrics.smoothed_bleu(metrics.normalise_for_bleu(F.col("a")), metrics.normalise_for_bleu(F.col("ref"))), 9).alias("bleu"))
 
@@ -437,7 +438,7 @@ def bleu_scores(s, d):
 @query()
 def function_features(s, d):
     """Functions of every fenced Python block that pass the filters."""
-    blocks = table(s, d, "checked_test_set_final").select("record_id", F.explode(T.fenced_blocks("orig_context")).alias("b")).where("b.lang = 'python'").select("record_id", F.col("b.body").alias("code"))
+    blocks = spread(table(s, d, "checked_test_set_final")).select("record_id", F.explode(T.fenced_blocks("orig_context")).alias("b")).where("b.lang = 'python'").select("record_id", F.col("b.body").alias("code"))
     f = function_table(blocks, "record_id", "code")
     return f.withColumn("kept", filters.function_keep(F.col("kind"))).select("record_id", "kind", "class_name", "name", "n_args", "n_statements", "n_branches", "n_code_lines", "kept")
 
@@ -445,13 +446,13 @@ def function_features(s, d):
 @query()
 def tree_match(s, d):
     """Whether the script still holds the original function, and the script's Python tokens."""
-    t = table(s, d, "checked_test_set_final")
+    t = spread(table(s, d, "checked_test_set_final"))
     return t.select("record_id", per_row(same_behaviour_tree, "boolean", "eval_script", "orig_func").alias("same"), per_row(lambda x: token_count(x) if x else 0, "int", "eval_script").alias("n_tokens"))
 
 
 @query()
 def script_compiles(s, d):
-    t = table(s, d, "checked_test_set_final").select("record_id", "eval_script")
+    t = spread(table(s, d, "checked_test_set_final")).select("record_id", "eval_script")
     return executed(t, "eval_script").select("record_id", F.col("exec.status").alias("status"))
 
 
@@ -464,7 +465,7 @@ def cached_model_calls(s, d):
 
 def _context_files(s, d):
     """The Python blocks of each context as the files of a small repository."""
-    t = table(s, d, "checked_test_set_final").select("record_id", "func_name", "func_path", F.posexplode(T.fenced_blocks("orig_context")).alias("pos", "b"))
+    t = spread(table(s, d, "checked_test_set_final")).select("record_id", "func_name", "func_path", F.posexplode(T.fenced_blocks("orig_context")).alias("pos", "b"))
     path = F.regexp_extract(F.col("b.body"), r"^##\s+(\S+)", 1)
     return t.where(path.endswith(".py")).select(F.col("record_id").cast("string").alias("repo_id"), T.path_module(path).alias("module"), F.col("b.body").alias("code"), "func_name", "pos")
 

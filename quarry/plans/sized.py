@@ -17,3 +17,14 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: list[str], max_rows: int = MAX
     """
     small = keys.limit(max_rows + 1).count() <= max_rows
     return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with at least one partition for each core, for work that is heavy on CPU.
+
+    A small table in one file would otherwise be read by one task.  Inputs that already
+    have as many partitions as cores are returned as they are, so large ones are never
+    shuffled for this.  Give a plain scan: columns are pruned below the exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
