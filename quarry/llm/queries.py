@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.names import canonical_repo
 from quarry.llm import budget, capping, credentials, mixing, neardup, overlap, packing, spans, splits, subjects
+from quarry.plans.sized import spread
 from quarry.workspace import Workspace
 
 
@@ -20,12 +21,16 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "checked_test_set_final")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str = "checked_test_set_final") -> DataFrame:
+    return spread(_table(spark, sf_dir, name))
+
+
 def p1_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return budget.token_totals(_records(spark, sf_dir), _table(spark, sf_dir, "repos"), Workspace(spark, "p1"))
+    return budget.token_totals(_texts(spark, sf_dir), _table(spark, sf_dir, "repos"), Workspace(spark, "p1"))
 
 
 def p1_record_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return budget.record_tokens(_records(spark, sf_dir), Workspace(spark, "p1"))
+    return budget.record_tokens(_texts(spark, sf_dir), Workspace(spark, "p1"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,17 +54,17 @@ def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.span_pairs(*spans.shared_spans(_records(spark, sf_dir), Workspace(spark, "p3")))
+    return spans.span_pairs(*spans.shared_spans(_texts(spark, sf_dir), Workspace(spark, "p3")))
 
 
 def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _records(spark, sf_dir)
+    records = _texts(spark, sf_dir)
     return spans.shared_share(*spans.shared_spans(records, Workspace(spark, "p3")), records)
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "p4")
-    return ws.save(credentials.scored(_records(spark, sf_dir), ws), "scored")
+    return ws.save(credentials.scored(_texts(spark, sf_dir), ws), "scored")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,13 +76,13 @@ def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = overlap.record_pairs(*overlap.cross_split(_records(spark, sf_dir), Workspace(spark, "p5"), 0.7))
+    pairs = overlap.record_pairs(*overlap.cross_split(_texts(spark, sf_dir), Workspace(spark, "p5"), 0.7))
     return pairs.select(F.least("left_id", "right_id").alias("record_id_a"), F.greatest("left_id", "right_id").alias("record_id_b"))
 
 
 def p5_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every overlapping pair with the names of both sides and the words covered."""
-    records = _records(spark, sf_dir)
+    records = _texts(spark, sf_dir)
     pairs = overlap.record_pairs(*overlap.cross_split(records, Workspace(spark, "p5"), 0.7))
     names = records.select("record_id", F.lower(F.trim("split_name")).alias("split"), "repo_name", "func_name")
     left = names.select(*[F.col(c).alias("left_id" if c == "record_id" else f"train_{c}") for c in names.columns]).drop("train_split")
@@ -94,18 +99,18 @@ def p5_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neardup.near_duplicates(_records(spark, sf_dir), Workspace(spark, "p6"), ["orig_context", "eval_script"], 0.7)
+    found = neardup.near_duplicates(_texts(spark, sf_dir), Workspace(spark, "p6"), ["orig_context", "eval_script"], 0.7)
     return neardup.expand_pairs(*found).select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b")).distinct()
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neardup.near_duplicates(_records(spark, sf_dir), Workspace(spark, "p6"), ["orig_context", "eval_script"], 0.7)
+    found = neardup.near_duplicates(_texts(spark, sf_dir), Workspace(spark, "p6"), ["orig_context", "eval_script"], 0.7)
     names = F.array(F.lit("orig_context"), F.lit("eval_script"))
     return neardup.membership(*found).withColumn("field", names[F.col("field")])
 
 
 def _sizes(spark: SparkSession, sf_dir: str, ws: Workspace) -> DataFrame:
-    return ws.save(packing.document_tokens(_table(spark, sf_dir, "documents"), ws), "sizes")
+    return ws.save(packing.document_tokens(_texts(spark, sf_dir, "documents"), ws), "sizes")
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +134,7 @@ def p9_mix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "p10")
-    found = subjects.document_subjects(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "subject_labels"), _table(spark, sf_dir, "subject_areas"), ws)
+    found = subjects.document_subjects(_texts(spark, sf_dir, "documents"), _table(spark, sf_dir, "subject_labels"), _table(spark, sf_dir, "subject_areas"), ws)
     return ws.save(found, "found")
 
 
