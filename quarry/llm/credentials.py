@@ -61,17 +61,18 @@ _HEX = re.compile(r"^[0-9a-fA-F]+$")
 _IDENT = re.compile(r"^[A-Za-z_][\w.]*$")
 _UUID = re.compile(r"^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$", re.I)
 
-_TRIGGERS = ["passw", "passphrase", "pwd", "_pass", "pass=", "_pw", "secret", "token", "key", "contrase", "mot_de_passe", "kennwort", "login", "authoriz", "://", "curl ", "bearer", "jwt", "credential", "signing"]
-#: What follows a trigger when the line can hold a literal; names and calls alone do not count.
-_AFTER = re.compile(r"""[\w.\-\u00c0-\u024f]*["']?(?:\]\s*)?\s*[:=,]\s*(?:f?["'][^\s"']|[^\s"'(]{6,}\s*(?:\#.*)?\r?$)|[\w-]*\s+[^\s]{8,}""", re.M)
+#: Lower-case parts of which every secret name, and every other place a pattern below reads, holds one.
+_TRIGGERS = ["pass", "pwd", "_pw", "-pw", "secret", "token", "key", "signing", "credential", "bearer", "jwt", "contrase", "kennwort", "authoriz", "login", "://", "-u ", "-u\t"]
+#: Signs of which every pattern but ``_RUN`` needs one on its line.
+_SIGN = re.compile(r"[=:,#;]|//|--")
 _RUN = re.compile(r"[A-Za-z0-9+/=_.\-]{16,}")
 _MIXED = re.compile(ISSUED + r"|(?=.*\d)(?=.*[A-Z])(?=.*[a-z])")
 
 _URL = re.compile(r"[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s:/@\"']*:([^\s\"'@]+)@(?=[\w\[])")
-_CONN = re.compile(r"(?i)[;\"'](?:\s*)(pwd|password)=([^;\"'\s]+)(?=[;\"'])")
-_USER = re.compile(r"\s-u\s+[\w.\-]+:(?:'([^']*)'|\"([^\"]*)\"|([^\s'\"]+))")
+_CONN = re.compile(r"(?i)[;\"'](?:\s*)(pwd|password)=([^;\"'\s]+)(?=[;\"'\s]|$)")
+_USER = re.compile(r"(?:^|\s)-u\s+[\w.\-]+:(?:'([^']*)'|\"([^\"]*)\"|([^\s'\"]+))")
 _HEADER = re.compile(r"(?i)authorization[\"']?\s*[,:]\s*[\"']?(basic|bearer|token)\s+([^\s\"']+)")
-_OPTION = re.compile(r"\s--([A-Za-z][\w\-]*)[ =](?:'([^']*)'|\"([^\"]*)\"|([^\s'\"]+))")
+_OPTION = re.compile(r"(?:^|\s)--([A-Za-z][\w\-]*)[ =](?:'([^']*)'|\"([^\"]*)\"|([^\s'\"]+))")
 _PAIR = re.compile(r"([\"']?)([A-Za-z_\u00c0-\u024f][\w.\-\u00c0-\u024f]*)\1\]?\s*[:=]\s*(?:[frbu]{0,2}\"((?:[^\"\\\n]|\\.)*)\"|[frbu]{0,2}'((?:[^'\\\n]|\\.)*)')")
 _MORE = re.compile(r"\s*\+?\s*(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)')")
 _BARE = re.compile(r"^\s*(?:-\s+|export\s+|ENV\s+|ARG\s+|set\s+)?([A-Za-z_\u00c0-\u024f][\w.\-\u00c0-\u024f]*)\s*[:=]\s*([^\s\"'].*?)\s*$")
@@ -95,13 +96,16 @@ def _ascii_lower(text: str) -> str:
 
 
 def trigger_lines(text: str, automaton: ahocorasick.Automaton) -> list[int]:
-    """Starts of the lines that may hold a credential."""
+    """Starts of the lines that may hold a credential: a trigger and a sign, or a long mixed token."""
     starts = set()
+    done = -1
     for end, _ in automaton.iter(_ascii_lower(text)):
-        at = text.rfind("\n", 0, end) + 1
-        if at in starts:
+        if end <= done:
             continue
-        if text[end] == "/" or text[end] == " " or _AFTER.match(text, end + 1):
+        at = text.rfind("\n", 0, end) + 1
+        done = text.find("\n", end)
+        done = done if done >= 0 else len(text)
+        if _SIGN.search(text, at, done):
             starts.add(at)
     for m in _RUN.finditer(text):
         if _MIXED.match(m.group()):

@@ -314,3 +314,15 @@ def test_empty_tables(spark):
     assert neardup.expand_pairs(*neardup.near_duplicates(none, w(), ["orig_context"])).count() == 0
     repos = spark.createDataFrame([], "repo_id string, topic string")
     assert [r["tokens"] for r in budget.token_totals(none, repos, w()).collect()] == [0]
+
+
+@pytest.mark.parametrize(
+    "line",
+    ["tool --admin-pw {} -v", "tool --DB-PASS {}", "tool --password={} --host h", "tool --password {}", 'c = "Server=h;uid=u;pwd={};db=d"', 'c = "Server=h;Password={}"', "conn: Server=h;Password={}", "pass: {}", '  "pass": "{}",', "motdepasse = '{}'", 'connect("svc", "{}")  # mot de passe', "-u svc:{} \\"],
+)
+def test_credential_forms_become_candidates(line):
+    automaton = credentials._automaton()
+    for value in ("Gr7#kLmn0pq", "k7Q#x2"):
+        text = "x\n" + line.format(value) + "\ny"
+        assert credentials.trigger_lines(text, automaton) == [2]
+        assert [v for *_, v in credentials.line_candidates(line.format(value), False) if v == value] == [value]
