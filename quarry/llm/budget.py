@@ -2,52 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.fences import FENCE, OUTSIDE, language
 from quarry.functions.names import canonical_label, canonical_repo
 from quarry.llm.bpe import VOCABULARY, token_sums
 from quarry.workspace import Workspace
 
-_FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})[ \t]*([^\r\n`]*)\r?$", re.M)
-_PATH = re.compile(r"^\s*##\s+(\S+)")
-#: File name endings and fence tags by language.
-LANGUAGES = {
-    "python": ["python", "py", "python3", "py3", "pyi", "python2", "ipython", "pycon"],
-    "yaml": ["yaml", "yml"],
-    "json": ["json", "jsonc", "json5", "jsonl"],
-    "toml": ["toml"],
-    "ini": ["ini", "cfg", "conf", "properties", "env", "dotenv"],
-    "shell": ["sh", "bash", "shell", "zsh", "console"],
-    "dockerfile": ["dockerfile", "docker"],
-    "markdown": ["md", "markdown", "rst", "txt", "text"],
-    "sql": ["sql"],
-    "javascript": ["js", "javascript", "ts", "typescript", "jsx", "tsx"],
-    "xml": ["xml", "html", "htm"],
-}
-_BY_TAG = {tag: name for name, tags in LANGUAGES.items() for tag in tags}
-OUTSIDE = "outside"
-
-
-def language(tag: str, body: str) -> str:
-    """The language of a block: by its tag, else by the ending of its path, else ``unknown``."""
-    word = re.sub(r"^[{.\s]+", "", tag.strip().lower())
-    word = re.split(r"[\s,:;{}]", word, maxsplit=1)[0].lstrip(".")
-    if word in _BY_TAG:
-        return _BY_TAG[word]
-    path = _PATH.match(body)
-    if path:
-        name = path.group(1).rstrip("/").rsplit("/", 1)[-1].lower()
-        end = name.rsplit(".", 1)[-1]
-        if end in _BY_TAG:
-            return _BY_TAG[end]
-    return word or "unknown"
-
-
 def segments(text: str) -> list[tuple[str, str]]:
     """``(language, text)`` of all parts of a context; joined they are the text again.
 
@@ -63,7 +28,7 @@ def segments(text: str) -> list[tuple[str, str]]:
         if end > start:
             out.append((language(tag, text[body:end]) if opened else OUTSIDE, text[start:end]))
 
-    for m in _FENCE.finditer(text):
+    for m in FENCE.finditer(text):
         if opened and not m.group(2).strip():
             end = min(m.end() + 1, len(text))
             emit(end)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.functions.fences import block_rows
 from quarry.functions.names import base_idx, canonical_label, canonical_repo
 from quarry.functions import codetext
 from quarry.functions.pyast import function_table, per_row, same_behaviour_tree, token_count
@@ -438,8 +439,8 @@ def bleu_scores(s, d):
 @query()
 def function_features(s, d):
     """Functions of every fenced Python block that pass the filters."""
-    blocks = spread(table(s, d, "checked_test_set_final")).select("record_id", F.explode(T.fenced_blocks("orig_context")).alias("b")).where("b.lang = 'python'").select("record_id", F.col("b.body").alias("code"))
-    f = function_table(blocks, "record_id", "code")
+    blocks = block_rows(spread(table(s, d, "checked_test_set_final")), "orig_context", "record_id").where("lang = 'python'")
+    f = function_table(blocks, "record_id", "body")
     return f.withColumn("kept", filters.function_keep(F.col("kind"))).select("record_id", "kind", "class_name", "name", "n_args", "n_statements", "n_branches", "n_code_lines", "kept")
 
 
@@ -465,9 +466,9 @@ def cached_model_calls(s, d):
 
 def _context_files(s, d):
     """The Python blocks of each context as the files of a small repository."""
-    t = spread(table(s, d, "checked_test_set_final")).select("record_id", "func_name", "func_path", F.posexplode(T.fenced_blocks("orig_context")).alias("pos", "b"))
-    path = F.regexp_extract(F.col("b.body"), r"^##\s+(\S+)", 1)
-    return t.where(path.endswith(".py")).select(F.col("record_id").cast("string").alias("repo_id"), T.path_module(path).alias("module"), F.col("b.body").alias("code"), "func_name", "pos")
+    t = block_rows(spread(table(s, d, "checked_test_set_final")), "orig_context", "record_id", "func_name")
+    path = F.regexp_replace("path", r"(?i)\.py$", ".py")
+    return t.where(path.endswith(".py")).select(F.col("record_id").cast("string").alias("repo_id"), T.path_module(path).alias("module"), F.col("body").alias("code"), "func_name", "pos")
 
 
 @query()

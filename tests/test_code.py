@@ -1,12 +1,15 @@
 """Code text, slicing, evaluation and external sources."""
 
+import ast
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import codetext as C
+from quarry.functions.fences import block_rows, blocks
 from quarry.operators import evaluation, slicing
+from quarry.plans.queries import QUERIES
 from quarry.sources.external import RepoSearch
 
 FILES = {
@@ -80,3 +83,24 @@ def test_repo_search(spark, tmp_path):
     spark.dataSource.register(RepoSearch)
     df = spark.read.format("repo_search").option("fixture", f"{tmp_path}/f.jsonl").option("license", "mit").option("max_kb", "600").option("page_size", "4").load()
     assert sorted(r.full_name for r in df.collect()) == ["o/r1", "o/r3", "o/r5"]
+
+
+def test_blocks_of_every_fence(spark):
+    opens = ["```python", "```py", "```Python", "```python3", "``` python", "```python   ", "```python\r", "```python\r  ", "~~~python", "```", "see ```python"]
+    text = "\n".join(f"{o}\n## p/m{i}.py\ndef f{i}():\n    return {i}\n```{' ' * (i % 2)}" for i, o in enumerate(opens))
+    text += '\n```yaml\n## a.yml\nx: 1\n```\n```python\n## p/open.py\ndef g():\n    """\n    ```\n    a\n    ```\n    """\n```py\n## p/last.py\r\ndef h():\r\n    return 1'
+    got = blocks(text)
+    assert [p for _, p, _ in got] == [*(f"p/m{i}.py" for i in range(len(opens))), "a.yml", "p/open.py", "p/last.py"]
+    assert [lang for lang, *_ in got] == ["python"] * len(opens) + ["yaml", "python", "python"]
+    assert all(ast.parse(b) for lang, _, b in got if lang == "python") and got[-1][2].endswith("return 1") and got[0][2] == "## p/m0.py\ndef f0():\n    return 0"
+    assert blocks(None) == [] and blocks("a ```x``` b\nuse ``` for it") == [] and blocks("```")[0][2] == ""
+    df = spark.createDataFrame([(1, text), (2, None)], "k bigint, t string")
+    assert [r.pos for r in block_rows(df, "t", "k").where("lang = 'python'").orderBy("pos").collect()] == [*range(len(opens)), len(opens) + 1, len(opens) + 2]
+
+
+def test_queries_read_every_fence(spark, tmp_path):
+    text = "```py\n## p/a.py\ndef f():\n    return g()\n```\n~~~python\n## p/b.py\ndef k():\n    return 1\n```\n```\n## p/c.py\nfrom p.a import f\ndef h():\n    return f()"
+    spark.createDataFrame([(1, text, "h")], "record_id bigint, orig_context string, func_name string").write.parquet(f"{tmp_path}/checked_test_set_final.parquet")
+    assert sorted(r.name for r in QUERIES["function_features"](spark, str(tmp_path)).collect()) == ["f", "h", "k"]
+    assert [(r.caller, r.callee) for r in QUERIES["built_call_graph"](spark, str(tmp_path)).collect()] == [("p.c.h", "p.a.f")]
+    assert [(r.module, r.n_chars > 0) for r in QUERIES["sliced_contexts"](spark, str(tmp_path)).collect()] == [("p.c", True)]
