@@ -10,7 +10,9 @@ both records are reported next to the exact set similarity.
 Selected hashes that stand in very many records (import lines, licence headers)
 would pair everything with everything.  They are not dropped: each record sends its
 rarest hashes first and stops when a pair with at least ``MIN_COMMON`` of its hashes
-in common must have met already.  Texts with equal shingle sets enter the join once.
+in common must have met already.  Texts of up to ``ALL_GRAMS`` different three-word runs
+also meet by all of these, ranked on their own, since too few hashes are selected there:
+pairs at 0.7 or more with a side of up to 40 runs always meet.  Texts with equal shingle sets enter the join once.
 
 Null texts and texts under three words match nothing.
 """
@@ -33,6 +35,8 @@ from quarry.workspace import Workspace
 RUN = 5
 WINDOW = 8
 MIN_COMMON = 0.2
+#: Most three-word runs of a partner, at a similarity of 0.7, of a text with 40.
+ALL_GRAMS = 57
 
 
 def selected(words: np.ndarray, run: int = RUN, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +48,7 @@ def selected(words: np.ndarray, run: int = RUN, window: int = WINDOW) -> tuple[n
 
 
 def fingerprint(texts: DataFrame) -> DataFrame:
-    """``texts(id, side, text)`` to ``(id, side, sig_a, sig_b, hashes)``; hashes are distinct."""
+    """``texts(id, side, text)`` to ``(id, side, sig_a, sig_b, hashes, grams)``; hashes are distinct, grams empty for long texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHasher()
@@ -53,29 +57,31 @@ def fingerprint(texts: DataFrame) -> DataFrame:
             for rid, side, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = word_hashes(text, memo) if text else ()
                 if len(words) >= 3:
-                    rows.append((rid, side, *set_signature(shingle_set(words)), np.unique(selected(words)[0]).view(np.int64)))
-            cols = list(zip(*rows)) if rows else [()] * 5
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["id", "side", "sig_a", "sig_b", "hashes"])
+                    grams = shingle_set(words)
+                    rows.append((rid, side, *set_signature(grams), np.unique(selected(words)[0]).view(np.int64), grams[: len(grams) if len(grams) <= ALL_GRAMS else 0].view(np.int64)))
+            cols = list(zip(*rows)) if rows else [()] * 6
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["id", "side", "sig_a", "sig_b", "hashes", "grams"])
 
-    return texts.select("id", "side", "text").where("text is not null").mapInArrow(run, "id bigint, side boolean, sig_a bigint, sig_b bigint, hashes array<bigint>")
+    return texts.select("id", "side", "text").where("text is not null").mapInArrow(run, "id bigint, side boolean, sig_a bigint, sig_b bigint, hashes array<bigint>, grams array<bigint>")
 
 
 def meeting_pairs(reps: DataFrame, ws: Workspace) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of ``reps(id, lefts, rights, hashes)`` that share a selected hash.
+    """Pairs ``(a, b)``, a < b, of ``reps(id, lefts, rights, hashes, grams)`` that share a selected hash or a gram.
 
     ``lefts`` and ``rights`` say on which sides a class has records.
     """
-    rows = reps.select("id", "lefts", "rights", F.size("hashes").alias("m"), F.explode("hashes").alias("h"))
-    sides = rows.groupBy("h").agg(F.count("*").alias("df"), F.max("lefts").alias("l"), F.max("rights").alias("r")).where("df > 1 and l and r").select("h", "df")
-    shared = rows.join(sides, "h")
-    own = W.partitionBy("id")
+    kinds = F.explode(F.array(F.struct(F.lit(False).alias("short"), F.col("hashes").alias("hs")), F.struct(F.lit(True).alias("short"), F.col("grams").alias("hs"))))
+    rows = reps.select("id", "lefts", "rights", kinds.alias("k")).select("id", "lefts", "rights", "k.short", F.size("k.hs").alias("m"), F.explode("k.hs").alias("h"))
+    sides = rows.groupBy("short", "h").agg(F.count("*").alias("df"), F.max("lefts").alias("l"), F.max("rights").alias("r")).where("df > 1 and l and r").select("short", "h", "df")
+    shared = rows.join(sides, ["short", "h"])
+    own = W.partitionBy("id", "short")
     ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("df", "h"))).withColumn("kept", F.count("*").over(own))
     need = F.ceil(F.col("m") * MIN_COMMON)
-    rare = ws.save(ranked.where(F.col("rank") <= F.col("m") - need + 1 - (F.col("m") - F.col("kept"))).select("id", "lefts", "rights", "h"), "rare")
-    left = rare.where("lefts").select(F.col("id").alias("x"), "h")
-    right = rare.where("rights").select(F.col("id").alias("y"), "h")
-    met = left.join(right, "h").where("x != y")
+    rare = ws.save(ranked.where(F.col("rank") <= F.col("m") - need + 1 - (F.col("m") - F.col("kept"))).select("id", "lefts", "rights", "short", "h"), "rare")
+    left = rare.where("lefts").select(F.col("id").alias("x"), "short", "h")
+    right = rare.where("rights").select(F.col("id").alias("y"), "short", "h")
+    met = left.join(right, ["short", "h"]).where("x != y")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -165,7 +171,7 @@ def cross_split(records: DataFrame, ws: Workspace, threshold: float = 0.8, text_
     texts = records.select(F.col(id_col).cast("bigint").alias("id"), side.alias("side"), F.col(text_col).alias("text")).where("side is not null")
     prints = ws.save(fingerprint(texts), "prints")
     key = ["sig_a", "sig_b"]
-    classes = prints.groupBy(*key).agg(F.min_by("hashes", "id").alias("hashes"), F.min("id").alias("id"), F.max("side").alias("lefts"), F.max(~F.col("side")).alias("rights"))
+    classes = prints.groupBy(*key).agg(F.min_by("hashes", "id").alias("hashes"), F.min_by("grams", "id").alias("grams"), F.min("id").alias("id"), F.max("side").alias("lefts"), F.max(~F.col("side")).alias("rights"))
     pairs = ws.save(meeting_pairs(classes, ws), "pairs")
     ws.drop("rare")
     ids = ws.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")

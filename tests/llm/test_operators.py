@@ -326,3 +326,19 @@ def test_credential_forms_become_candidates(line):
         text = "x\n" + line.format(value) + "\ny"
         assert credentials.trigger_lines(text, automaton) == [2]
         assert [v for *_, v in credentials.line_candidates(line.format(value), False) if v == value] == [value]
+
+
+def test_short_texts_of_two_splits_meet(spark, ws):
+    rng = random.Random(12)
+    rows = []
+    for n in (8, 10, 12, 20, 40):
+        for _ in range(60):
+            base = [f"q{rng.randrange(10**9)}" for _ in range(n)]
+            other = list(base)
+            for at in [[0], [n - 1], [n // 2], [n // 3, 2 * n // 3]][rng.randrange(4)]:
+                other[at] = f"q{rng.randrange(10**9)}"
+            other += [f"q{rng.randrange(10**9)}" for _ in range(rng.randrange(0, 1 + n // 4))]
+            rows += [(len(rows), "train", None, None, " ".join(base), None, None), (len(rows) + 1, "test", None, None, " ".join(other), None, None)]
+    want = {(i, i + 1) for i in range(0, len(rows), 2) if similarity(rows[i][4], rows[i + 1][4]) >= 0.7}
+    got = {(r.left_id, r.right_id) for r in overlap.record_pairs(*overlap.cross_split(records(spark, rows), ws, 0.7)).collect()}
+    assert len(want) > 60 and got == want
