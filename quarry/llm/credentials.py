@@ -166,9 +166,9 @@ def line_candidates(line: str, code: bool) -> list[tuple[int, int, str, str, str
 
 
 def _key_body(text: str, begin: re.Match) -> tuple[int, int]:
-    end = _PEM_END.search(text, begin.end(), begin.end() + 20_000)
-    nxt = _PEM.search(text, begin.end(), end.start() if end else begin.end() + 20_000)
-    if end and not nxt:
+    nxt = _PEM.search(text, begin.end())
+    end = _PEM_END.search(text, begin.end(), nxt.start() if nxt else len(text))
+    if end:
         return begin.end(), end.start()
     m = re.compile(r"(?:[\s\\nr\"'+,#/]*[A-Za-z0-9+/=]{16,})*").match(text, begin.end())
     return begin.end(), m.end()
