@@ -303,7 +303,7 @@ def markov_table(found: DataFrame) -> np.ndarray:
         counts = np.zeros((2, 97, 97), np.int64)
         for batch in batches:
             for label, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes = [96, *map(_code, value[:4096]), 96]
+                codes = [96, *map(_code, value), 96]
                 np.add.at(counts[label], (codes[:-1], codes[1:]), 1)
         at = np.flatnonzero(counts.ravel())
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(counts.ravel()[at], pa.int64())], ["place", "n"])

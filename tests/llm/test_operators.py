@@ -350,3 +350,9 @@ def test_long_key_blocks_are_whole():
     for m in credentials._PEM.finditer(text := key + key):
         s, e = credentials._key_body(text, m)
         assert text[s:e] == body
+
+
+def test_markov_counts_whole_values(spark):
+    df = spark.createDataFrame([(1, "a" * 5000 + "zq" * 500), (0, "a" * 5000)], "label int, value string")
+    table = credentials.markov_table(df)
+    assert table[credentials._code("z"), credentials._code("q")] > 2
