@@ -19,6 +19,22 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: list[str], max_rows: int = MAX
     return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
 
 
+#: Most rows of a look-up table with short string keys that are broadcast (about 20 MB).
+MAX_BROADCAST_ROWS = 200_000
+
+
+def look_up(df: DataFrame, table: DataFrame, on: list[str], how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` joined with ``table``, which must be a written table with one row for each key.
+
+    Up to ``max_rows`` rows are broadcast.  Beyond that both sides are shuffled and merged;
+    since ``table`` is a scan and not an aggregate on the key, it gets an exchange of its own
+    and adaptive execution can split a hot key of ``df``.  An aggregate that is joined as it
+    is keeps its partitioning, and such a join is never split.
+    """
+    small = table.limit(max_rows + 1).count() <= max_rows
+    return df.join(F.broadcast(table) if small else table.hint("merge"), on, how)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with at least one partition for each core, for work that is heavy on CPU.
 
