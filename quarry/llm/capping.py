@@ -2,22 +2,29 @@
 
 Every contributor over the cap gets a cutoff score such that fewer than ``cap``
 records lie above it and at least ``cap`` at or above it.  All contributors are
-bisected together: a round counts, in one aggregation, the records above each of
-a contributor's midpoints and narrows its bounds to values that occur in the
-data, so the search ends on the exact cutoff.  Ties at the cutoff are resolved by
-the same search over the identifiers of the tied records.  No group is ever
-sorted or collected.
+bisected together: a round divides the bounds of every open contributor into
+``SECTIONS``, counts the records of all sections in one aggregation, and keeps only
+the section that holds the cutoff, with the bounds drawn in to values that occur in
+the data.  A contributor with at most ``FEW`` different values left takes every value
+as a midpoint and is done with the next count, so most never enter the rounds.  Only
+values inside the bounds are read again.  Ties at the cutoff are resolved by the same
+search over the identifiers of the tied records.  No group is ever sorted or
+collected in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.names import canonical_repo
+from quarry.plans.sized import look_up
 from quarry.workspace import Workspace
 
 SECTIONS = 16
+#: Most different values that are counted value by value.
+FEW = 256
 
 
 def quality(col: Column | str) -> Column:
@@ -27,47 +34,55 @@ def quality(col: Column | str) -> Column:
     return F.when(c.isNull() | F.isnan(c) | (c < 0), F.lit(-1.0)).otherwise(c + F.lit(0.0))
 
 
-def bisect_cutoffs(weighted: DataFrame, ws: Workspace, label: str, max_rounds: int = 80) -> DataFrame:
+def _holding(counts: DataFrame, order: str) -> DataFrame:
+    """Of the few rows ``(key, order, n, need)`` of each key the one with ``above < need <= above + n``."""
+    higher = W.partitionBy("key").orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)
+    above = counts.withColumn("above", F.coalesce(F.sum("n").over(higher), F.lit(0)))
+    return above.where((F.col("above") < F.col("need")) & (F.col("need") <= F.col("above") + F.col("n")))
+
+
+def _section(integral: bool) -> Column:
+    """The section of a value in its bounds; the lowest value is always in the first, the highest in the last."""
+    value, lo, hi = (F.col(c).cast("decimal(20,0)") if integral else F.col(c) for c in ("value", "lo", "hi"))
+    part = F.floor((value - lo).cast("double") / (hi - lo).cast("double") * SECTIONS)
+    return F.when(F.col("value") >= F.col("hi"), SECTIONS - 1).otherwise(F.coalesce(F.greatest(F.lit(0), F.least(part, F.lit(SECTIONS - 1))), F.lit(0))).cast("int")
+
+
+def bisect_cutoffs(weighted: DataFrame, needs: DataFrame, ws: Workspace, label: str, max_rounds: int = 80) -> DataFrame:
     """For each key the value v with ``weight above v < need <= weight at or above v``.
 
-    ``weighted`` has ``(key, value, n, need)``, one row for each distinct value of a
-    key, with total weight of at least ``need``.  Values are doubles or longs.
-    Returns ``(key, cutoff, above, need)``; ``above`` is the weight over the cutoff.
+    ``weighted`` has ``(key, value, n)``, one row for each distinct value of a key, values
+    doubles or longs; ``needs``, a written table, has ``(key, need, lo, hi, k)`` with the
+    bounds and the number of values of the keys in question.  Returns
+    ``(key, cutoff, left, tied)``: how many records with just that value are still needed,
+    and how many there are.
     """
     integral = dict(weighted.dtypes)["value"] == "bigint"
-    bounds = weighted.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.first("need").alias("need"))
-    bounds = ws.save(bounds, f"{label}0")
-    names = [f"m{j}" for j in range(1, SECTIONS)]
-    for r in range(1, max_rounds + 1):
-        open_ = bounds.where("lo < hi")
-        if open_.isEmpty():
+    open_ = look_up(weighted.select("key", "value", "n"), needs, ["key"])
+    done, bounds = [], needs
+    for r in range(max_rounds):
+        found = _holding(open_.where(F.col("k") <= FEW), "value")
+        done.append(ws.save(found.select("key", F.col("value").alias("cutoff"), (F.col("need") - F.col("above")).alias("left"), F.col("n").alias("tied")), f"{label}_cut{r}"))
+        if bounds.where(F.col("k") > FEW).isEmpty():
             break
-        def mid(j: int) -> Column:
-            lo, hi = F.col("lo"), F.col("hi")
-            if integral:
-                m = lo + F.floor((hi.cast("decimal(38,0)") - lo.cast("decimal(38,0)")) * j / SECTIONS).cast("bigint")
-                return F.greatest(m, lo + 1)
-            m = lo + (hi - lo) * (j / SECTIONS)
-            return F.when((m > lo) & (m <= hi), m).otherwise(hi)
-
-        mids = open_.select("key", "lo", "hi", "need", *[mid(j).alias(n) for j, n in enumerate(names, 1)])
-        inside = weighted.select("key", "value", "n").join(mids, "key")
-        aggs = [F.sum(F.when(F.col("value") >= F.col(n), F.col("n")).otherwise(0)).alias(f"c_{n}") for n in names]
-        aggs += [F.min(F.when(F.col("value") >= F.col(n), F.col("value"))).alias(f"ge_{n}") for n in names]
-        aggs += [F.max(F.when(F.col("value") < F.col(n), F.col("value"))).alias(f"lt_{n}") for n in names]
-        aggs += [F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("need").alias("need")]
-        found = inside.groupBy("key").agg(*aggs)
-        # The cutoff is at or above the highest midpoint that leaves enough weight, and below the next one.
-        lo = F.greatest(F.col("lo"), *[F.when(F.col(f"c_{n}") >= F.col("need"), F.col(f"ge_{n}")) for n in names])
-        hi = F.least(F.col("hi"), *[F.when(F.col(f"c_{n}") < F.col("need"), F.col(f"lt_{n}")) for n in names])
-        closed = bounds.where("lo >= hi").select("key", "lo", "hi", "need")
-        bounds = ws.save(closed.unionByName(found.select("key", lo.alias("lo"), hi.alias("hi"), "need")), f"{label}{r}")
-        ws.drop(f"{label}{r - 1}")
+        placed = open_.where(F.col("k") > FEW).select("key", "value", "n", "need", _section(integral).alias("part"))
+        counts = placed.groupBy("key", "part").agg(F.sum("n").alias("n"), F.first("need").alias("need"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("k"))
+        bounds = ws.save(_holding(counts, "part").select("key", "part", (F.col("need") - F.col("above")).alias("need"), "lo", "hi", "k"), f"{label}_bounds{r}")
+        open_ = ws.save(look_up(placed.drop("need"), bounds, ["key", "part"]).drop("part"), f"{label}_open{r}")
+        if r:
+            ws.drop(f"{label}_open{r - 1}")
     else:
         raise RuntimeError(f"cutoffs not found after {max_rounds} rounds")
-    cut = bounds.select("key", F.col("lo").alias("cutoff"), "need")
-    above = weighted.select("key", "value", "n").join(cut, "key").groupBy("key", "cutoff", "need").agg(F.sum(F.when(F.col("value") > F.col("cutoff"), F.col("n")).otherwise(0)).alias("above"))
-    return ws.save(above, f"{label}_cut")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _needs(weighted: DataFrame, need: Column) -> DataFrame:
+    """Bounds and weight of the keys that have more than they need."""
+    sums = weighted.groupBy("key").agg(F.sum("n").alias("total"), need.cast("bigint").alias("need"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("k"))
+    return sums.where(F.col("total") > F.col("need")).drop("total")
 
 
 def cap_records(records: DataFrame, ws: Workspace, cap: int | None = 5, share: float | None = None, id_col: str = "record_id", key: Column | None = None, score: Column | None = None) -> DataFrame:
@@ -90,15 +105,13 @@ def cap_records(records: DataFrame, ws: Workspace, cap: int | None = 5, share: f
         limit = by_share if cap is None else min(cap, by_share)
     if limit < 1:
         raise ValueError("the cap must be at least 1")
-    hist = rows.where("key is not null").groupBy("key", F.col("score").alias("value")).agg(F.count("*").alias("n"))
-    hist = ws.save(hist, "hist")
-    big = hist.groupBy("key").agg(F.sum("n").alias("total")).where(F.col("total") > limit)
-    weighted = ws.save(hist.join(big, "key").select("key", "value", "n", F.lit(limit).cast("bigint").alias("need")), "weighted")
-    cuts = bisect_cutoffs(weighted, ws, "score")
-    tied = rows.join(cuts, "key").where(F.col("score") == F.col("cutoff"))
-    tied = tied.groupBy("key", (-F.col("record_id")).alias("value")).agg(F.count("*").alias("n"), F.first(F.col("need") - F.col("above")).alias("need"))
-    id_cuts = bisect_cutoffs(ws.save(tied, "tied"), ws, "ids").select("key", (-F.col("cutoff")).alias("last_id"))
-    ends = cuts.join(id_cuts, "key", "left").select("key", "cutoff", "last_id")
-    joined = rows.join(ends, "key", "left")
-    kept = F.col("cutoff").isNull() | (F.col("score") > F.col("cutoff")) | ((F.col("score") == F.col("cutoff")) & (F.col("record_id") <= F.col("last_id")))
-    return joined.select("record_id", "key", "score", kept.alias("kept"))
+    hist = ws.save(rows.where("key is not null").groupBy("key", F.col("score").alias("value")).agg(F.count("*").alias("n")), "hist")
+    cuts = ws.save(bisect_cutoffs(hist, ws.save(_needs(hist, F.lit(limit)), "needs"), ws, "score"), "cuts")
+    some = ws.save(cuts.where("tied > left").select("key", "cutoff", "left"), "some")
+    tied = look_up(rows, some, ["key"]).where(F.col("score") == F.col("cutoff"))
+    tied = ws.save(tied.groupBy("key", (-F.col("record_id")).alias("value")).agg(F.count("*").alias("n"), F.first("left").alias("left")), "tied")
+    last = bisect_cutoffs(tied.drop("left"), ws.save(_needs(tied, F.first("left")), "tied_needs"), ws, "ids")
+    ends = ws.save(cuts.join(last.select("key", (-F.col("cutoff")).alias("last_id")), "key", "left").select("key", "cutoff", "last_id"), "ends")
+    # without a last id all ties are kept
+    kept = F.col("cutoff").isNull() | (F.col("score") > F.col("cutoff")) | ((F.col("score") == F.col("cutoff")) & (F.col("last_id").isNull() | (F.col("record_id") <= F.col("last_id"))))
+    return look_up(rows, ends, ["key"], "left").select("record_id", "key", "score", kept.alias("kept"))

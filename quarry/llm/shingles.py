@@ -13,9 +13,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.plans.sized import keep_keys
+from quarry.workspace import Workspace
 
 _WORD = re.compile(rb"[A-Za-z0-9_]+")
 _ODD = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,3 +117,24 @@ def jaccard_pairs(pairs: DataFrame, texts: DataFrame, ids: DataFrame, threshold:
     shared = F.size(F.array_intersect("ga", "gb"))
     scored = both.select("field", "a", "b", shared.alias("shared"), (F.size("ga") + F.size("gb") - shared).alias("total"))
     return scored.where((F.col("total") > 0) & (F.col("shared") >= F.lit(threshold) * F.col("total"))).select("field", "a", "b", (F.col("shared") / F.col("total")).alias("similarity"))
+
+
+def prefix_pairs(sets: DataFrame, ws: Workspace, threshold: float, by: list[str], name: str) -> DataFrame:
+    """All pairs ``(*by, a, b)``, a < b, of ``sets(*by, id, lefts, rights, grams)`` that may reach the threshold; none is lost.
+
+    Sets of similarity t and more have t of each of them in common, so if the members are
+    ranked by how many sets hold them, the rarest ``m - ceil(t m) + 1`` of two such sets
+    meet.  ``lefts`` and ``rights`` say on which sides a set stands; only pairs of a left
+    and a right one count.  A member that stands in a third of all sets comes last and is
+    sent only by sets made of nothing else.
+    """
+    rows = sets.select(*by, "id", "lefts", "rights", F.size("grams").alias("m"), F.explode("grams").alias("h"))
+    sides = rows.groupBy(*by, "h").agg(F.count("*").alias("df"), F.max("lefts").alias("l"), F.max("rights").alias("r")).where("df > 1 and l and r").select(*by, "h", "df")
+    own = W.partitionBy(*by, "id")
+    ranked = rows.join(sides, [*by, "h"]).withColumn("rank", F.row_number().over(own.orderBy("df", "h"))).withColumn("alone", F.col("m") - F.count("*").over(own))
+    need = F.ceil(F.col("m") * F.lit(threshold) - F.lit(1e-9))
+    rare = ws.save(ranked.where(F.col("rank") <= F.col("m") - need + 1 - F.col("alone")).select(*by, "id", "m", "lefts", "rights", "h"), name)
+    left = rare.where("lefts").select(*by, "h", F.col("id").alias("x"), F.col("m").alias("mx"))
+    right = rare.where("rights").select(*by, "h", F.col("id").alias("y"), F.col("m").alias("my"))
+    met = left.join(right, [*by, "h"]).where((F.col("x") != F.col("y")) & (F.least("mx", "my") >= F.lit(threshold) * F.greatest("mx", "my") - F.lit(1e-9)))
+    return met.select(*by, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

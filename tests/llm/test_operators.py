@@ -80,9 +80,11 @@ def test_rendezvous_shares(spark):
     assert abs(shares["train"] - 0.8) < 0.03 and abs(shares["test"] - 0.1) < 0.02
 
 
-def test_caps_match_sorting(spark, ws):
+@pytest.mark.parametrize("few", [256, 3])
+def test_caps_match_sorting(spark, ws, monkeypatch, few):
+    monkeypatch.setattr(capping, "FEW", few)
     rng = random.Random(4)
-    rows = [(rng.randrange(10**12) - 10**11, None, None, rng.choice([None, "a/b", "A___b", "c/d", "e/f"]), None, None, rng.choice([None, float("nan"), -1.0, 0.0, 0.25, 1.0, rng.random()])) for _ in range(300)]
+    rows = [(rng.randrange(10**12) - 10**11, None, None, rng.choice([None, "a/b", "A___b", "c/d", "e/f"]), None, None, rng.choice([None, float("nan"), -1.0, 0.0, 0.25, 1.0, float("inf"), 5e-324, rng.random()])) for _ in range(300)]
     rows += [rows[0]] * 3
     got = sorted((r.record_id, r.kept) for r in capping.cap_records(records(spark, rows), ws).collect())
     by = {}
