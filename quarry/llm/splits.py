@@ -7,9 +7,9 @@ links the owner of its repository with its base index.  Only the distinct
 Components are found by hash-to-min: every node keeps a cluster of known members;
 in a round it sends the cluster to the cluster's smallest member and that smallest
 member to all others.  Clusters are held as (node, member) rows, never as arrays,
-so a component with a third of all nodes is still spread over all tasks; the join
-of cluster rows with cluster minima is a shuffle join that adaptive execution
-splits when one node's cluster is large.
+so a component with a third of all nodes is still spread over all tasks.  The minima
+are written before they are joined with the cluster rows: adaptive execution splits a
+large cluster only if the other side is not an aggregate on the same key.
 
 Splits are assigned by weighted rendezvous hashing of the component, so adding
 records or a new split moves as few components as possible.
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.names import base_idx, canonical_repo, repo_owner
+from quarry.plans.sized import look_up
 from quarry.workspace import Workspace
 
 DEFAULT_WEIGHTS = {"train": 0.8, "valid": 0.1, "test": 0.1}
@@ -40,13 +41,14 @@ def hash_to_min(edges: DataFrame, ws: Workspace, max_rounds: int = 60) -> DataFr
     clusters = ws.save(both.select("e.node", "e.member").distinct(), "clusters0")
     seen = _signature(clusters)
     for r in range(1, max_rounds + 1):
-        low = clusters.groupBy("node").agg(F.min("member").alias("low"))
-        sent = clusters.join(low, "node").select(
+        low = ws.save(clusters.groupBy("node").agg(F.min("member").alias("low")), f"low{r}")
+        sent = look_up(clusters, low, ["node"]).select(
             F.explode(F.array(F.struct(F.col("low").alias("node"), F.col("member").alias("member")), F.struct(F.col("member").alias("node"), F.col("low").alias("member")))).alias("e")
         )
         nxt = ws.save(sent.select("e.node", "e.member").distinct(), f"clusters{r}")
         now = _signature(nxt)
         ws.drop(f"clusters{r - 1}")
+        ws.drop(f"low{r}")
         clusters = nxt
         if now == seen:
             return clusters.groupBy("node").agg(F.min("member").alias("root"))
@@ -69,8 +71,8 @@ def record_groups(records: DataFrame, ws: Workspace, id_col: str = "record_id",
     keyed = records.select(F.col(id_col).alias("record_id"), repo.alias("repo"), F.concat(F.lit("o:"), repo_owner(repo)).alias("owner"), F.concat(F.lit("b:"), base_idx(F.col(idx_col))).alias("base"))
     keyed = ws.save(keyed.withColumn("node", F.coalesce("base", "owner")), "keyed")
     edges = keyed.where("node is not null").select(F.coalesce("owner", "base").alias("a"), F.coalesce("base", "owner").alias("b")).distinct()
-    roots = hash_to_min(edges, ws)
-    joined = keyed.select("record_id", "repo", "node").join(roots, "node", "left")
+    roots = ws.save(hash_to_min(edges, ws), "roots")
+    joined = look_up(keyed.select("record_id", "repo", "node"), roots, ["node"], "left")
     return joined.select("record_id", "repo", F.coalesce("root", F.concat(F.lit("r:"), F.col("record_id").cast("string"))).alias("root"))
 
 
@@ -102,7 +104,7 @@ def named_groups(records: DataFrame, ws: Workspace) -> DataFrame:
     """
     groups = ws.save(record_groups(records, ws), "groups")
     heads = groups.groupBy("root").agg(F.min("repo").alias("group_key"), F.count("*").alias("n")).where("n >= 2 and group_key is not null")
-    return groups.join(heads, "root").select("record_id", "group_key")
+    return look_up(groups, ws.save(heads, "heads"), ["root"]).select("record_id", "group_key")
 
 
 def split_report(records: DataFrame, ws: Workspace, weights: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
