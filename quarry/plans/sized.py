@@ -19,8 +19,8 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: list[str], max_rows: int = MAX
     return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
 
 
-#: Most rows of a look-up table with short string keys that are broadcast (about 20 MB).
-MAX_BROADCAST_ROWS = 200_000
+#: Most rows of a look-up table with short string keys that are broadcast (about 2 MB).
+MAX_BROADCAST_ROWS = 20_000
 
 
 def look_up(df: DataFrame, table: DataFrame, on: list[str], how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -33,6 +33,25 @@ def checkpoint_root(spark: SparkSession) -> str:
     return "file://" + _LOCAL_ROOTS[app]
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, fs = _folder(spark, path)
+    fs.delete(where, True)
+
+
+def finished_tables(spark: SparkSession, path: str) -> list[str]:
+    """Names of the tables below a folder that were written to the end, in order; none if it does not exist."""
+    where, fs = _folder(spark, path)
+    if not fs.exists(where):
+        return []
+    found = [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()]
+    return sorted(n for n in found if fs.exists(_folder(spark, f"{path}/{n}/_SUCCESS")[0]))
+
+
 class Workspace:
     """A folder of written tables that belong to one operator call.
 
@@ -54,6 +73,4 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, f"{self.path}/{name}")
