@@ -9,16 +9,19 @@ both records are reported next to the exact set similarity.
 
 Selected hashes that stand in very many records (import lines, licence headers)
 would pair everything with everything.  They are not dropped: each record sends its
-rarest hashes first and stops when a pair with at least ``MIN_COMMON`` of its hashes
-in common must have met already.  Texts of up to ``ALL_GRAMS`` different three-word runs
-also meet by all of these, ranked on their own, since too few hashes are selected there:
-pairs at 0.7 or more with a side of up to 40 runs always meet.  Texts with equal shingle sets enter the join once.
+rarest hashes first and stops when a pair with at least ``min_common`` of its hashes
+in common must have met already; that share follows from the threshold.  Texts of up to
+``SHORT`` different three-word runs, and partners they can be similar to, have too few
+selected hashes for it and meet by their runs, of which a similarity of t guarantees a
+share of t.  ``exact`` lets texts of every length meet in that way, which loses no pair
+whatever the edits.  Texts with equal shingle sets enter the joins once.
 
 Null texts and texts under three words match nothing.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -28,15 +31,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.shingles import WordHasher, gram_hashes, set_signature, shingle_set, winnow, word_hashes
+from quarry.llm.shingles import WordHasher, gram_hashes, prefix_pairs, set_signature, shingle_set, winnow, word_hashes
 from quarry.plans.sized import keep_keys
 from quarry.workspace import Workspace
 
 RUN = 5
 WINDOW = 8
-MIN_COMMON = 0.2
-#: Most three-word runs of a partner, at a similarity of 0.7, of a text with 40.
-ALL_GRAMS = 57
+#: Pairs with a side of up to so many different three-word runs meet by them.
+SHORT = 100
+
+
+def min_common(threshold: float) -> float:
+    """Least share of selected hashes in common that is counted on at a similarity.
+
+    Single changed words at a similarity of t are a share of (1 - t) / (3 (1 + t)) of all;
+    a selected hash outlives them if none falls into its ``RUN + WINDOW - 1`` words.  Two
+    fifths of that expectation are asked for: over 100 words no simulated pair, with edits
+    evenly spread, at random or in the worst spacing, had less than four fifths.
+    """
+    return 0.4 * (1 - (1 - threshold) / (3 * (1 + threshold))) ** (RUN + WINDOW - 1)
 
 
 def selected(words: np.ndarray, run: int = RUN, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -47,18 +60,23 @@ def selected(words: np.ndarray, run: int = RUN, window: int = WINDOW) -> tuple[n
     return hashes[at], at
 
 
-def fingerprint(texts: DataFrame) -> DataFrame:
-    """``texts(id, side, text)`` to ``(id, side, sig_a, sig_b, hashes, grams)``; hashes are distinct, grams empty for long texts."""
+def fingerprint(texts: DataFrame, most_grams: int | None) -> DataFrame:
+    """``texts(id, side, text)`` to ``(id, side, sig_a, sig_b, hashes, grams)``; hashes are distinct.
+
+    Grams are empty for texts with more than ``most_grams``, hashes if all texts have grams.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHasher()
+        none = np.empty(0, np.int64)
         for batch in batches:
             rows = []
             for rid, side, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = word_hashes(text, memo) if text else ()
                 if len(words) >= 3:
                     grams = shingle_set(words)
-                    rows.append((rid, side, *set_signature(grams), np.unique(selected(words)[0]).view(np.int64), grams[: len(grams) if len(grams) <= ALL_GRAMS else 0].view(np.int64)))
+                    hashes = none if most_grams is None else np.unique(selected(words)[0]).view(np.int64)
+                    rows.append((rid, side, *set_signature(grams), hashes, grams.view(np.int64) if most_grams is None or len(grams) <= most_grams else none))
             cols = list(zip(*rows)) if rows else [()] * 6
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["id", "side", "sig_a", "sig_b", "hashes", "grams"])
@@ -66,22 +84,21 @@ def fingerprint(texts: DataFrame) -> DataFrame:
     return texts.select("id", "side", "text").where("text is not null").mapInArrow(run, "id bigint, side boolean, sig_a bigint, sig_b bigint, hashes array<bigint>, grams array<bigint>")
 
 
-def meeting_pairs(reps: DataFrame, ws: Workspace) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of ``reps(id, lefts, rights, hashes, grams)`` that share a selected hash or a gram.
+def meeting_pairs(reps: DataFrame, ws: Workspace, share: float) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of ``reps(id, lefts, rights, hashes)`` that share a selected hash.
 
-    ``lefts`` and ``rights`` say on which sides a class has records.
+    ``lefts`` and ``rights`` say on which sides a class has records.  Pairs with at least
+    ``share`` of the hashes of each side in common are all found.
     """
-    kinds = F.explode(F.array(F.struct(F.lit(False).alias("short"), F.col("hashes").alias("hs")), F.struct(F.lit(True).alias("short"), F.col("grams").alias("hs"))))
-    rows = reps.select("id", "lefts", "rights", kinds.alias("k")).select("id", "lefts", "rights", "k.short", F.size("k.hs").alias("m"), F.explode("k.hs").alias("h"))
-    sides = rows.groupBy("short", "h").agg(F.count("*").alias("df"), F.max("lefts").alias("l"), F.max("rights").alias("r")).where("df > 1 and l and r").select("short", "h", "df")
-    shared = rows.join(sides, ["short", "h"])
-    own = W.partitionBy("id", "short")
-    ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("df", "h"))).withColumn("kept", F.count("*").over(own))
-    need = F.ceil(F.col("m") * MIN_COMMON)
-    rare = ws.save(ranked.where(F.col("rank") <= F.col("m") - need + 1 - (F.col("m") - F.col("kept"))).select("id", "lefts", "rights", "short", "h"), "rare")
-    left = rare.where("lefts").select(F.col("id").alias("x"), "short", "h")
-    right = rare.where("rights").select(F.col("id").alias("y"), "short", "h")
-    met = left.join(right, ["short", "h"]).where("x != y")
+    rows = reps.select("id", "lefts", "rights", F.size("hashes").alias("m"), F.explode("hashes").alias("h"))
+    sides = rows.groupBy("h").agg(F.count("*").alias("df"), F.max("lefts").alias("l"), F.max("rights").alias("r")).where("df > 1 and l and r").select("h", "df")
+    own = W.partitionBy("id")
+    ranked = rows.join(sides, "h").withColumn("rank", F.row_number().over(own.orderBy("df", "h"))).withColumn("kept", F.count("*").over(own))
+    need = F.ceil(F.col("m") * share)
+    rare = ws.save(ranked.where(F.col("rank") <= F.col("m") - need + 1 - (F.col("m") - F.col("kept"))).select("id", "lefts", "rights", "h"), "rare")
+    left = rare.where("lefts").select(F.col("id").alias("x"), "h")
+    right = rare.where("rights").select(F.col("id").alias("y"), "h")
+    met = left.join(right, "h").where("x != y")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -157,11 +174,12 @@ def aligned(pairs: DataFrame, texts: DataFrame, ids: DataFrame, threshold: float
     return both.mapInArrow(run, "a bigint, b bigint, similarity double, seeds int, coverage_a double, coverage_b double")
 
 
-def cross_split(records: DataFrame, ws: Workspace, threshold: float = 0.8, text_col: str = "orig_context", id_col: str = "record_id", side: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def cross_split(records: DataFrame, ws: Workspace, threshold: float = 0.8, text_col: str = "orig_context", id_col: str = "record_id", side: Column | None = None, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(links, members)`` of texts that stand on both sides.
 
     ``side`` is true for one side, false for the other, null for rows outside both;
-    by default true for train and false for valid and test.  ``links`` has one row
+    by default true for train and false for valid and test.  ``exact`` compares all runs
+    of all texts instead of selected hashes (see above).  ``links`` has one row
     ``(a, b, similarity, seeds, coverage_a, coverage_b)`` for each pair of different
     classes that has records on opposite sides; ``members`` has ``(rep, id, side)``.
     """
@@ -169,16 +187,22 @@ def cross_split(records: DataFrame, ws: Workspace, threshold: float = 0.8, text_
         name = F.lower(F.trim(F.col("split_name")))
         side = F.when(name == "train", F.lit(True)).when(name.isin("valid", "test"), F.lit(False))
     texts = records.select(F.col(id_col).cast("bigint").alias("id"), side.alias("side"), F.col(text_col).alias("text")).where("side is not null")
-    prints = ws.save(fingerprint(texts), "prints")
+    prints = ws.save(fingerprint(texts, None if exact else math.ceil(SHORT / threshold)), "prints")
     key = ["sig_a", "sig_b"]
     classes = prints.groupBy(*key).agg(F.min_by("hashes", "id").alias("hashes"), F.min_by("grams", "id").alias("grams"), F.min("id").alias("id"), F.max("side").alias("lefts"), F.max(~F.col("side")).alias("rights"))
-    pairs = ws.save(meeting_pairs(classes, ws), "pairs")
-    ws.drop("rare")
+    classes = ws.save(classes, "classes")
+    met = prefix_pairs(classes.where(F.size("grams") > 0), ws, threshold, [], "rare_grams")
+    if not exact:
+        met = met.unionByName(meeting_pairs(classes.where(F.size("hashes") > 0), ws, min_common(threshold))).distinct()
+    pairs = ws.save(met, "pairs")
+    for name in ("rare", "rare_grams"):
+        ws.drop(name)
     ids = ws.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     links = ws.save(aligned(pairs, texts, ids, threshold), "links")
-    firsts = prints.groupBy(*key).agg(F.min("id").alias("rep"))
-    members = ws.save(prints.select(*key, "id", "side").join(firsts, key).select("rep", "id", "side"), "members")
-    ws.drop("prints")
+    # the classes are a written table, so a class with a third of all records is split
+    members = ws.save(prints.select(*key, "id", "side").join(classes.select(*key, F.col("id").alias("rep")), key).select("rep", "id", "side"), "members")
+    for name in ("prints", "classes"):
+        ws.drop(name)
     return links, members
 
 
@@ -188,6 +212,7 @@ def record_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     ``left_id`` is on the side that is true; pairs within a class have similarity 1.
     """
     both = members.groupBy("rep").agg(F.max("side").alias("l"), F.max(~F.col("side")).alias("r")).where("l and r").select("rep")
+    both = Workspace(members.sparkSession, "pairs").save(both, "both")
     own = both.select(F.col("rep").alias("p"), F.col("rep").alias("q"), F.lit(1.0).alias("similarity"), F.lit(1.0).alias("cp"), F.lit(1.0).alias("cq"))
     turns = F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q"), F.col("coverage_a").alias("cp"), F.col("coverage_b").alias("cq")), F.struct(F.col("b").alias("p"), F.col("a").alias("q"), F.col("coverage_b").alias("cp"), F.col("coverage_a").alias("cq"))))
     ways = links.select("similarity", turns.alias("e")).select("e.p", "e.q", "similarity", "e.cp", "e.cq").unionByName(own)
