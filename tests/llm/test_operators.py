@@ -101,18 +101,23 @@ def test_caps_match_sorting(spark, ws, monkeypatch, few):
         capping.cap_records(records(spark, rows), ws, cap=None)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates_match_all_pairs(spark, ws, seed):
+@pytest.mark.parametrize(("seed", "exact"), [(1, False), (2, False), (3, True)])
+def test_near_duplicates_match_all_pairs(spark, ws, seed, exact):
     texts = family(random.Random(seed), 25, 3)
     rows = [(i, "train", None, None, t, None, None) for i, t in enumerate(texts)]
-    links, members = neardup.near_duplicates(records(spark, rows), ws, ["orig_context", "eval_script"], 0.7)
+    links, members = neardup.near_duplicates(records(spark, rows), ws, ["orig_context", "eval_script"], 0.7, exact=exact)
     got = {(r.id_a, r.id_b) for r in neardup.expand_pairs(links, members).collect()}
     want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if similarity(texts[a], texts[b]) >= 0.7}
-    assert got <= want and len(got) >= 0.98 * len(want)
+    assert got <= want and (got == want if exact else len(got) >= 0.98 * len(want))
     groups = {r.record_id: r.links for r in neardup.membership(links, members).where("field = 0").collect()}
     assert all(groups[i] == sum(i in p for p in got) for i in groups)
 
 
+def test_tables_and_distance_follow_the_threshold():
+    assert neardup.tables_for(0.5) > neardup.tables_for(0.7) > neardup.tables_for(0.9) >= 1
+    assert neardup.most_distance(0.5) > neardup.most_distance(0.7) > neardup.most_distance(0.9)
+
+
 def test_golay_code_is_perfect():
     patterns = neardup.coset_patterns(3)
     assert all(len(p) == 1 for p in patterns.values()) and len(patterns) == 2048
@@ -131,6 +136,24 @@ def test_cross_split_matches_all_pairs(spark, ws):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_edits_at_every_place_meet(spark, ws):
+    rng = random.Random(13)
+    rows = []
+    for n in range(5, 31):
+        base = [f"q{rng.randrange(10**9)}" for _ in range(n)]
+        for at in range(n):
+            other = list(base)
+            other[at] = f"q{rng.randrange(10**9)}"
+            if rng.random() < 0.3:
+                del other[(at + n // 2) % n]
+            rows += [(len(rows), "train", None, None, " ".join(base), None, None), (len(rows) + 1, "test", None, None, " ".join(other), None, None)]
+    rows = [r for i, r in enumerate(rows) if i % 2 or r[4] != (rows[i - 2][4] if i else "")]  # each base once
+    train, test = [r for r in rows if r[1] == "train"], [r for r in rows if r[1] == "test"]
+    want = {(a[0], b[0]) for a in train for b in test if similarity(a[4], b[4]) >= 0.7}
+    got = {(r.left_id, r.right_id) for r in overlap.record_pairs(*overlap.cross_split(records(spark, rows), ws, 0.7)).collect()}
+    assert len(want) > 100 and got == want
+
+
 def test_alignment():
     a = np.arange(1, 60, dtype=np.uint64)
     b = np.concatenate([a[:30], np.array([777], np.uint64), a[30:]])
@@ -330,11 +353,12 @@ def test_credential_forms_become_candidates(line):
         assert [v for *_, v in credentials.line_candidates(line.format(value), False) if v == value] == [value]
 
 
-def test_short_texts_of_two_splits_meet(spark, ws):
+@pytest.mark.parametrize("exact", [False, True])
+def test_short_texts_of_two_splits_meet(spark, ws, exact):
     rng = random.Random(12)
     rows = []
-    for n in (8, 10, 12, 20, 40):
-        for _ in range(60):
+    for n in (5, 8, 10, 12, 20, 30, 40, 150):
+        for _ in range(40):
             base = [f"q{rng.randrange(10**9)}" for _ in range(n)]
             other = list(base)
             for at in [[0], [n - 1], [n // 2], [n // 3, 2 * n // 3]][rng.randrange(4)]:
@@ -342,7 +366,7 @@ def test_short_texts_of_two_splits_meet(spark, ws):
             other += [f"q{rng.randrange(10**9)}" for _ in range(rng.randrange(0, 1 + n // 4))]
             rows += [(len(rows), "train", None, None, " ".join(base), None, None), (len(rows) + 1, "test", None, None, " ".join(other), None, None)]
     want = {(i, i + 1) for i in range(0, len(rows), 2) if similarity(rows[i][4], rows[i + 1][4]) >= 0.7}
-    got = {(r.left_id, r.right_id) for r in overlap.record_pairs(*overlap.cross_split(records(spark, rows), ws, 0.7)).collect()}
+    got = {(r.left_id, r.right_id) for r in overlap.record_pairs(*overlap.cross_split(records(spark, rows), ws, 0.7, exact=exact)).collect()}
     assert len(want) > 60 and got == want
 
 
