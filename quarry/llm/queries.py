@@ -54,12 +54,12 @@ def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.span_pairs(*spans.shared_spans(_texts(spark, sf_dir), Workspace(spark, "p3")))
+    return spans.span_pairs(spans.shared_spans(_texts(spark, sf_dir), Workspace(spark, "p3")))
 
 
 def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _texts(spark, sf_dir)
-    return spans.shared_share(*spans.shared_spans(records, Workspace(spark, "p3")), records)
+    return spans.shared_share(spans.shared_spans(records, Workspace(spark, "p3")), records)
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:

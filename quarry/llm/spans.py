@@ -1,11 +1,12 @@
 """Long spans that stand verbatim in more than one record.
 
 The index is log-structured.  A batch of records becomes one immutable run: its
-selected window hashes with the record they came from, sorted by hash.  A new batch
-is merge-joined with itself and with every earlier run; pairs that meet are verified
-on the texts; then the batch is added as a run, and runs of one level are compacted
-into a run of the next as soon as there are ``FANOUT`` of them.  Adding a batch never
-rewrites the whole history.
+selected window hashes with the record they came from, in buckets of the hash and
+sorted within them.  A new batch is merge-joined with itself and with all earlier runs,
+bucket by bucket and without a shuffle; runs of one level are compacted into a run of
+the next as soon as there are ``FANOUT`` of them, so adding a batch never rewrites the
+whole history.  An index lives in a folder and can be opened again by a later session,
+which then reads only the records that are not in it.
 
 Hashes are taken of every window of ``GRAM`` characters and thinned by winnowing
 over 160 - GRAM + 1 windows, so every span of 160 characters that two records share
@@ -13,28 +14,40 @@ has a selected hash in common.  Pairs that meet are checked on the full texts: a
 windows of the wanted length are compared, and equal hashes are confirmed on the
 characters.  Characters are code points, case and blanks count.
 
+A hash that more than ``CROWD`` different texts hold (a licence header) is kept out of
+the runs and forms no pairs.  Instead every window of the wanted length whose smallest
+hash it is gets a 128-bit hash of its own; texts share a span exactly where they share
+such a window.  What a record shares is read off them without any pair.  Where pairs
+are asked for, two texts are paired where their runs of common windows begin, that is
+at windows with different ones before them, so a long common passage gives a pair once.
+
 Null texts and texts shorter than the length share nothing.  Equal texts enter the
 index once and are expanded at the end.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.shingles import mix, winnow
+from quarry.llm.shingles import mix, sliding_min, winnow
 from quarry.plans.sized import keep_keys
-from quarry.workspace import Workspace
+from quarry.workspace import Workspace, delete, finished_tables
 
 GRAM = 120
 FANOUT = 4
-BATCHES = 3
+#: One more than FANOUT, so that the last batch meets a compacted run.
+BATCHES = 5
+CROWD = 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 
@@ -50,8 +63,10 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def window_hashes(chars: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every window of k characters, in time linear in the text."""
+def window_hashes(chars: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """A hash of every window of k characters, in time linear in the text; another one for each salt."""
+    if salt:
+        chars = mix(chars.astype(np.uint64) + np.uint64(salt << 32))
     n = len(chars)
     if n < k:
         return np.empty(0, np.uint64)
@@ -84,51 +99,111 @@ def fingerprints(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 class SpanIndex:
-    """Sorted immutable runs of ``(h, id)`` in levels."""
-
-    def __init__(self, ws: Workspace, fanout: int = FANOUT):
-        self.ws = ws
-        self.fanout = fanout
-        self.levels: list[list[tuple[str, DataFrame]]] = []
-        self.made = 0
+    """Immutable runs ``(h, id, batch)`` in a folder, beside the crowded hashes and the members of each text.
 
-    def runs(self) -> list[DataFrame]:
-        return [df for level in self.levels for _, df in level]
+    ``runs/run-<first>-<last>-<buckets>`` holds the batches first to last.  A run whose
+    batches all lie in another one was compacted and is ignored, so a crash between the
+    writing of a compacted run and the deletion of its parts does no harm.
+    """
 
-    def _write(self, rows: DataFrame) -> tuple[str, DataFrame]:
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, fanout: int = FANOUT, crowd: int = CROWD):
+        self.spark, self.path, self.fanout, self.crowd = spark, path, fanout, crowd
+        self.open: dict[tuple[int, int], tuple[str, DataFrame]] = {}
+        self.buckets = buckets or max(8, spark.sparkContext.defaultParallelism)
+        found = [tuple(map(int, n.split("-")[1:])) for n in finished_tables(spark, f"{path}/runs")]
+        for first, last, width in found:
+            self.buckets = width
+            if not any(a <= first and last <= b and (a, b) != (first, last) for a, b, _ in found):
+                self.open[first, last] = self._register(first, last)
+        self.made = max([n for _, n, _ in found] + [int(n.split("-")[1]) for n in finished_tables(spark, f"{path}/crowd")], default=0)
+
+    def _place(self, first: int, last: int) -> str:
+        return f"{self.path}/runs/run-{first}-{last}-{self.buckets}"
+
+    def _register(self, first: int, last: int) -> tuple[str, DataFrame]:
+        name = f"span_run_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} (h BIGINT, id BIGINT, batch INT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self._place(first, last)}'")
+        return name, self.spark.table(name)
+
+    def _write(self, rows: DataFrame, first: int, last: int) -> None:
+        name = f"span_run_{uuid.uuid4().hex}"
+        out = rows.select("h", "id", "batch").repartition(self.buckets, "h").write.format("parquet").mode("overwrite")
+        out.bucketBy(self.buckets, "h").sortBy("h").option("path", self._place(first, last)).saveAsTable(name)
+        self.open[first, last] = name, self.spark.table(name)
+
+    def runs(self) -> DataFrame | None:
+        """All runs; the union keeps their buckets."""
+        out = None
+        for _, df in self.open.values():
+            out = df if out is None else out.unionByName(df)
+        return out
+
+    def table(self, kind: str, schema: str) -> DataFrame:
+        """All parts of one of the side tables ``crowd``, ``crowd_rows`` and ``members``."""
+        names = finished_tables(self.spark, f"{self.path}/{kind}")
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}/{n}" for n in names]) if names else self.spark.createDataFrame([], schema)
+
+    def append(self, kind: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{kind}/part-{self.made}-{uuid.uuid4().hex}")
+
+    def crowded(self) -> DataFrame:
+        return self.table("crowd", "h bigint").distinct()
+
+    def add(self, rows: DataFrame, ws: Workspace) -> DataFrame:
+        """Indexes ``rows(h, id)`` as one batch; the pairs ``(a, b)``, a < b, that it forms with itself and all runs.
+
+        Hashes that are crowded by now are noted as such instead of being paired.
+        """
         self.made += 1
-        name = f"run{self.made}"
-        return name, self.ws.save(rows.repartitionByRange("h").sortWithinPartitions("h"), name)
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Index ``batch(h, id)``; the pairs ``(a, b)``, a < b, that it forms with itself and all runs."""
-        name, new = self._write(batch)
-        once = new.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-        again = new.join(once, "h", "left_semi")
-        parts = [again.select("h", F.col("id").alias("x")).join(again.select("h", F.col("id").alias("y")), "h").where("x < y").select("x", "y")]
-        for old in self.runs():
-            parts.append(old.select("h", F.col("id").alias("x")).join(new.select("h", F.col("id").alias("y")), "h").where("x != y").select("x", "y"))
-        met = parts[0]
-        for p in parts[1:]:
-            met = met.unionByName(p)
-        pairs = self.ws.save(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"met{self.made}")
-        self._place(0, name, new)
-        return pairs
-
-    def _place(self, level: int, name: str, run: DataFrame) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append((name, run))
-        if len(self.levels[level]) < self.fanout:
-            return
-        full, self.levels[level] = self.levels[level], []
-        rows = full[0][1]
-        for _, df in full[1:]:
-            rows = rows.unionByName(df)
-        merged = self._write(rows)
-        for old, _ in full:
-            self.ws.drop(old)
-        self._place(level + 1, *merged)
+        now = self.made
+        crowd = self.crowded()
+        known = crowd.limit(1_000_001).count()
+        if known:
+            crowd = F.broadcast(crowd) if known <= 1_000_000 else crowd
+            self.append("crowd_rows", rows.select("h", "id").join(crowd, "h", "left_semi"))
+            rows = rows.join(crowd, "h", "left_anti")
+        self._write(rows.withColumn("batch", F.lit(now)), now, now)
+        every = self.runs()
+        met = every.groupBy("h").agg(F.count("*").alias("n"), F.max("batch").alias("newest")).where((F.col("n") > 1) & (F.col("newest") == now)).select("h", "n")
+        # a crowded hash collects nothing
+        members = F.collect_list(F.when(F.col("n") <= self.crowd, F.struct("id", "batch")))
+        touched = ws.save(every.join(met, "h").groupBy("h").agg(F.first("n").alias("n"), members.alias("m")), f"touched{now}")
+        self.append("crowd", touched.where(F.col("n") > self.crowd).select("h"))
+        self._compact(now)
+        pair = lambda x: F.transform(F.filter("m", lambda y: (x["id"] < y["id"]) & ((x["batch"] == now) | (y["batch"] == now))), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
+        return touched.where(F.size("m") > 1).select(F.explode(F.flatten(F.transform("m", pair))).alias("p")).select("p.a", "p.b")
+
+    def _level(self, run: tuple[int, int]) -> int:
+        return int(math.log(run[1] - run[0] + 1 + 0.5, self.fanout)) if self.fanout > 1 else 0
+
+    def _compact(self, now: int) -> None:
+        while True:
+            last = self._level(max(self.open, key=lambda r: r[1]))
+            same = sorted(r for r in self.open if self._level(r) == last)
+            if len(same) < self.fanout:
+                return
+            rows = None
+            for r in same:
+                rows = self.open[r][1] if rows is None else rows.unionByName(self.open[r][1])
+            # rows of hashes that became crowded move out of the runs
+            crowd = self.crowded()
+            self.append("crowd_rows", rows.join(crowd, "h", "left_semi").select("h", "id"))
+            self._write(rows.join(crowd, "h", "left_anti"), same[0][0], same[-1][1])
+            for r in same:
+                name, _ = self.open.pop(r)
+                self.spark.sql(f"DROP TABLE {name}")
+                delete(self.spark, self._place(*r))
+
+    def crowd_rows(self) -> DataFrame:
+        """``(h, id)`` of all texts with a crowded hash, in the runs or moved out of them."""
+        out = self.table("crowd_rows", "h bigint, id bigint")
+        runs = self.runs()
+        return out if runs is None else out.unionByName(runs.join(self.crowded(), "h", "left_semi").select("h", "id"))
+
+    def close(self) -> None:
+        """Forgets the tables in this session; the files stay."""
+        for name, _ in self.open.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def common_spans(a: str, b: str, length: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -179,15 +254,73 @@ def verified(pairs: DataFrame, texts: DataFrame, ids: DataFrame, length: int) ->
     return both.mapInArrow(run, f"a bigint, b bigint, ranges_a {_RANGES}, ranges_b {_RANGES}")
 
 
-def shared_spans(records: DataFrame, ws: Workspace, length: int = 160, gram: int = GRAM, batches: int = BATCHES, text_col: str = "orig_context", id_col: str = "record_id", time_col: str | None = "loaded_at") -> tuple[DataFrame, DataFrame]:
-    """``(links, members)``: pairs of different texts with a common span, and the copies of each text.
+def crowded_windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Windows ``(id, pos, wa, wb, before)`` of ``texts(id, text, grams)`` whose smallest hash is one of ``grams``.
+
+    ``before`` is the hash of the window one character earlier, null if that is not one of these.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rid, text, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                chars = code_points(text)
+                smallest = sliding_min(window_hashes(chars, gram), length - gram + 1)
+                at = np.flatnonzero(np.isin(smallest, np.array(grams, np.int64).view(np.uint64)))
+                wa, wb = window_hashes(chars, length)[at], window_hashes(chars, length, 1)[at]
+                both = mix(wa ^ mix(wb)).view(np.int64)
+                follows = np.diff(at, prepend=-2) == 1
+                before = pa.array(np.roll(both, 1), pa.int64(), mask=~follows)
+                yield pa.record_batch([pa.array(np.full(len(at), rid), pa.int64()), pa.array(at, pa.int32()), pa.array(wa.view(np.int64)), pa.array(wb.view(np.int64)), before], ["id", "pos", "wa", "wb", "before"])
+
+    return texts.select("id", "text", "grams").mapInArrow(run, "id bigint, pos int, wa bigint, wb bigint, before bigint")
+
+
+def window_pairs(windows: DataFrame, ws: Workspace) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of ids that share one of ``windows(id, wa, wb, before)``.
+
+    Texts with the same window before share that one too and are paired there; so only
+    texts of different classes of ``before`` are paired, and a window whose texts all
+    have the same one before is left out without a look at its texts.
+    """
+    key = ["wa", "wb"]
+    rows = windows.select("id", *key, F.coalesce("before", F.xxhash64(F.lit("start"), "id")).alias("p")).distinct()
+    begins = rows.groupBy(*key).agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo < hi").select(*key)
+    rows = ws.save(rows.join(begins, key, "left_semi"), "begins")
+    classes = ws.save(rows.select(*key, "p").distinct(), "befores")
+    two = classes.select(*key, F.col("p").alias("p1")).join(classes.select(*key, F.col("p").alias("p2")), key).where("p1 < p2")
+    one = two.join(rows.select(*key, F.col("p").alias("p1"), F.col("id").alias("x")), [*key, "p1"]).join(rows.select(*key, F.col("p").alias("p2"), F.col("id").alias("y")), [*key, "p2"])
+    return one.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+@dataclass
+class Shared:
+    """Spans in common: ``links(a, b, ranges_a, ranges_b)`` of pairs of texts, ``windows(id, pos, wa, wb, before)``
+    that stand in two texts or more, and ``members(rep, id, fresh)`` of each text."""
+
+    links: DataFrame
+    windows: DataFrame
+    members: DataFrame
+    length: int
+
+
+_MEMBER = "sig_a bigint, sig_b bigint, rep bigint, id bigint"
+
+
+def shared_spans(
+    records: DataFrame, ws: Workspace, length: int = 160, gram: int = GRAM, batches: int = BATCHES, text_col: str = "orig_context", id_col: str = "record_id", time_col: str | None = "loaded_at",
+    index_path: str | None = None, fanout: int = FANOUT, crowd: int = CROWD,
+) -> Shared:
+    """What the texts of ``records`` have in common.
 
-    ``links`` has ``(a, b, ranges_a, ranges_b)`` over representatives, ``members``
-    ``(rep, id)`` for every text of the length or more.  Records enter the index in
-    ``batches`` batches by arrival time (all in one batch without ``time_col``).
+    Records enter the index in ``batches`` batches by arrival time (all in one without
+    ``time_col``).  Without ``index_path`` the index is made for this call and deleted.
+    With it, ``records`` are all records so far: those already in the index are not read
+    into it again, and links, windows and members are those that new ones take part in.
+    ``length``, ``gram`` and ``crowd`` of an index must not change.
     """
     if gram > length:
         raise ValueError("gram must not exceed length")
+    spark = records.sparkSession
     batch = F.lit(0)
     if time_col and batches > 1:
         when = F.col(time_col).cast("timestamp").cast("double")
@@ -195,51 +328,81 @@ def shared_spans(records: DataFrame, ws: Workspace, length: int = 160, gram: int
         for c in cuts:
             batch = batch + F.coalesce((when > F.lit(c)).cast("int"), F.lit(0))
     texts = records.select(F.col(id_col).cast("bigint").alias("id"), batch.cast("int").alias("batch"), F.col(text_col).alias("text"))
-    prints = ws.save(fingerprints(texts, length, gram), "prints")
+    path = index_path or f"{ws.path}/index"
+    old = SpanIndex(spark, path).table("members", _MEMBER) if index_path else None
+    again = old is not None and not old.isEmpty()
+    prints = ws.save(fingerprints(texts.join(old.select("id"), "id", "left_anti") if again else texts, length, gram), "prints")
     key = ["sig_a", "sig_b"]
     reps = prints.groupBy(*key).agg(F.min_by(F.struct("batch", "hashes"), "id").alias("f"), F.min("id").alias("id"))
-    rows = ws.save(reps.select("id", F.col("f.batch").alias("batch"), F.explode("f.hashes").alias("h")), "rows", ["batch"])
-    index = SpanIndex(ws)
+    reps = reps.select(*key, "id", "f.hashes", "f.batch", *([] if again else [F.col("id").alias("rep")]))
+    if again:
+        seen = old.where("rep = id").select(*key, "rep")
+        reps = reps.join(seen, key, "left").select(*key, "id", "hashes", "batch", F.coalesce("rep", "id").alias("rep"))
+    reps = ws.save(reps, "reps", ["batch"])
+    rows = reps.where("rep = id").select("batch", "id", F.explode("hashes").alias("h"))
+    # buckets of about 4 million rows
+    size = rows.count() if index_path else prints.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    index = SpanIndex(spark, path, max(8, spark.sparkContext.defaultParallelism, size // 4_000_000), fanout, crowd)
+    index.append("crowd", rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("h"))
     found = None
     for b in range(batches if time_col else 1):
-        pairs = index.add(rows.where(F.col("batch") == b).select("h", "id"))
+        pairs = index.add(rows.where(F.col("batch") == b).select("h", "id"), ws)
         found = pairs if found is None else found.unionByName(pairs)
+    found = ws.save(found.distinct(), "found")
     ids = ws.save(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     links = ws.save(verified(found, texts, ids, length), "links")
-    firsts = prints.groupBy(*key).agg(F.min("id").alias("rep"))
-    members = ws.save(prints.select(*key, "id").join(firsts, key).select("rep", "id"), "members")
-    for name in ("prints", "rows", *(n for level in index.levels for n, _ in level)):
+    marks = ws.save(index.crowd_rows().groupBy("id").agg(F.collect_set("h").alias("grams")), "marks")
+    wanted = keep_keys(texts.select("id", "text"), marks.select("id"), ["id"]).join(marks, "id")
+    windows = ws.save(crowded_windows(wanted, length, gram), "every_window")
+    two = windows.groupBy("wa", "wb").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("wa", "wb")
+    windows = ws.save(windows.join(two, ["wa", "wb"], "left_semi"), "windows")
+    members = ws.save(prints.select(*key, "id").join(reps.select(*key, "rep"), key).select(*key, "rep", "id"), "members")
+    own = members.select("rep", "id", F.lit(True).alias("fresh"))
+    if index_path:
+        index.append("members", members)
+        own = own.unionByName(old.select("rep", "id", F.lit(False).alias("fresh"))) if again else own
+    own = ws.save(own, "own")
+    index.close()
+    for name in ("prints", "reps", "members", "every_window", "index", *(f"touched{n}" for n in range(1, index.made + 1))):
         ws.drop(name)
-    return links, members
+    return Shared(links, windows, own, length)
 
 
-def span_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of records ``(record_id_a, record_id_b)``, a < b, with a common span."""
-    crowd = members.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").select("rep")
+def span_pairs(shared: Shared) -> DataFrame:
+    """Pairs of records ``(record_id_a, record_id_b)``, a < b, with a common span, one of them new."""
+    members = shared.members
+    ws = Workspace(members.sparkSession, "pairs")
+    linked = ws.save(shared.links.select("a", "b").unionByName(window_pairs(shared.windows, ws)).distinct(), "linked")
+    crowd = ws.save(members.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").select("rep"), "crowd")
     copies = members.join(crowd, "rep", "left_semi")
-    within = copies.select("rep", F.col("id").alias("x")).join(copies.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
-    across = links.select("a", "b").join(members.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-    both = within.unionByName(across)
+    turned = lambda rep, n, df: df.select(F.col("rep").alias(rep), F.col("id").alias(n), F.col("fresh").alias(f"fresh_{n}"))
+    within = turned("rep", "x", copies).join(turned("rep", "y", copies), "rep").where("x < y").drop("rep")
+    across = linked.join(turned("a", "x", members), "a").join(turned("b", "y", members), "b").drop("a", "b")
+    both = within.unionByName(across).where("fresh_x or fresh_y")
     return both.select(F.least("x", "y").alias("record_id_a"), F.greatest("x", "y").alias("record_id_b"))
 
 
-def shared_share(links: DataFrame, members: DataFrame, records: DataFrame, text_col: str = "orig_context", id_col: str = "record_id") -> DataFrame:
+def shared_share(shared: Shared, records: DataFrame, text_col: str = "orig_context", id_col: str = "record_id") -> DataFrame:
     """For each record ``(record_id, n_chars, shared_chars, shared_share)``.
 
     A character is shared if it lies in a span that another record also has.  Records
     with an equal text of the length or more share all of it.  Null texts have null
     counts, empty texts a share of 0.
     """
+    links, members = shared.links, shared.members
     ends = F.array(F.struct(F.col("a").alias("rep"), F.col("ranges_a").alias("ranges")), F.struct(F.col("b").alias("rep"), F.col("ranges_b").alias("ranges")))
-    ranges = links.select(F.explode(ends).alias("e")).select("e.rep", F.explode("e.ranges").alias("r")).select("rep", "r.start", "r.stop").distinct()
+    ranges = links.select(F.explode(ends).alias("e")).select("e.rep", F.explode("e.ranges").alias("r")).select("rep", "r.start", "r.stop")
+    ranges = ranges.unionByName(shared.windows.select(F.col("id").alias("rep"), F.col("pos").alias("start"), (F.col("pos") + F.lit(shared.length)).alias("stop"))).distinct()
     before = W.partitionBy("rep").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
     seen = F.coalesce(F.max("stop").over(before), F.lit(0))
     fresh = ranges.select("rep", F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), seen)).alias("fresh"))
     covered = fresh.groupBy("rep").agg(F.sum("fresh").alias("covered"))
     sizes = members.groupBy("rep").agg(F.count("*").alias("copies"))
-    per = members.join(sizes, "rep").join(covered, "rep", "left").select(F.col("id").alias("record_id"), "copies", "covered")
+    # written, so that a text with a third of all records as copies is split
+    per = Workspace(members.sparkSession, "share").save(sizes.join(covered, "rep", "left"), "per")
+    per = members.join(per, "rep").select(F.col("id").alias("record_id"), "copies", "covered")
     n = F.length(F.col(text_col)).cast("bigint")
     base = records.select(F.col(id_col).cast("bigint").alias("record_id"), n.alias("n_chars"))
-    shared = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0)))
-    out = base.join(per, "record_id", "left").withColumn("shared_chars", F.when(F.col("n_chars").isNotNull(), shared).cast("bigint"))
+    mine = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0)))
+    out = base.join(per, "record_id", "left").withColumn("shared_chars", F.when(F.col("n_chars").isNotNull(), mine).cast("bigint"))
     return out.select("record_id", "n_chars", "shared_chars", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).when(F.col("n_chars") == 0, F.lit(0.0)).alias("shared_share"))
