@@ -14,8 +14,13 @@
    chosen by hash; every candidate is scored.  Platt scaling on labelled candidates that
    were not trained on makes the score a probability; ``CUTOFF`` and more is masked.
 
-Masking replaces exactly the value (of a key block: the lines between its markers) and
-leaves quotes, names and line ends alone.  Null texts stay null.
+Literals that are joined to one value, on a line or over several (in brackets, behind a
+backslash, by a plus), and block scalars of configuration files are one candidate that
+stands where its first piece begins.
+
+Masking replaces exactly the value, each piece of it on its own (of a key block: the
+lines between its markers), and leaves quotes, names and line ends alone.  Null texts
+stay null.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import binascii
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -73,8 +79,13 @@ _CONN = re.compile(r"(?i)[;\"'](?:\s*)(pwd|password)=([^;\"'\s]+)(?=[;\"'\s]|$)"
 _USER = re.compile(r"(?:^|\s)-u\s+[\w.\-]+:(?:'([^']*)'|\"([^\"]*)\"|([^\s'\"]+))")
 _HEADER = re.compile(r"(?i)authorization[\"']?\s*[,:]\s*[\"']?(basic|bearer|token)\s+([^\s\"']+)")
 _OPTION = re.compile(r"(?:^|\s)--([A-Za-z][\w\-]*)[ =](?:'([^']*)'|\"([^\"]*)\"|([^\s'\"]+))")
-_PAIR = re.compile(r"([\"']?)([A-Za-z_\u00c0-\u024f][\w.\-\u00c0-\u024f]*)\1\]?\s*[:=]\s*(?:[frbu]{0,2}\"((?:[^\"\\\n]|\\.)*)\"|[frbu]{0,2}'((?:[^'\\\n]|\\.)*)')")
+_PAIR = re.compile(r"([\"']?)([A-Za-z_\u00c0-\u024f][\w.\-\u00c0-\u024f]*)\1\]?\s*[:=]\s*\(?\s*(?:[frbu]{0,2}\"((?:[^\"\\\n]|\\.)*)\"|[frbu]{0,2}'((?:[^'\\\n]|\\.)*)')")
 _MORE = re.compile(r"\s*\+?\s*(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)')")
+#: The next literal of a joined value, on this line or, behind a line end, on a later one.
+_JOIN = re.compile(r"([ \t]*\+?[ \t]*(?:\\?[ \t]*(?:#[^\n]*)?\r?\n[ \t]*)*\+?[ \t]*)[frbu]{0,2}(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)')")
+#: A name whose value starts behind an open bracket or a backslash at the end of the line.
+_LATER = re.compile(r"([\"']?)([A-Za-z_\u00c0-\u024f][\w.\-\u00c0-\u024f]*)\1\]?\s*[:=]\s*(\(\s*(?:#.*)?|\\)\s*$")
+_SCALAR = re.compile(r"^([ \t]*)(?:-[ \t]+)?[\"']?([A-Za-z_][\w.\-]*)[\"']?[ \t]*:[ \t]*[|>][+\-]?\d?[ \t]*$")
 _BARE = re.compile(r"^\s*(?:-\s+|export\s+|ENV\s+|ARG\s+|set\s+)?([A-Za-z_\u00c0-\u024f][\w.\-\u00c0-\u024f]*)\s*[:=]\s*([^\s\"'].*?)\s*$")
 _CALL = re.compile(r"\(\s*([\"'])[\w.@\-]+\1\s*,\s*([\"'])((?:(?!\2).)+)\2\s*\)\s*(?:#|//).*(?:passw|login|pwd|contrase|mot de passe|kennwort)", re.I)
 _COMMENT = re.compile(r"(?:#|//|;)\s*(?:[\w ]*:\s*)?(?:[A-Za-z]+\s+)*?([A-Za-z_]\w*)[\s:=]+([^\s\"'`()]{10,})\s*$")
@@ -149,7 +160,7 @@ def line_candidates(line: str, code: bool) -> list[tuple[int, int, str, str, str
             h = 1 if more.group(1) is not None else 2
             value, stop = value + more.group(h), more.end(h)
             more = _MORE.match(line, more.end())
-        if " " not in value.strip() or _PLACEHOLDER.match(value):
+        if " " not in value.strip() or _PLACEHOLDER.match(value) or _PASSWORD_NAME.search(m.group(2)):
             add(m.start(g), stop, m.group(2), "pair", value)
     m = _BARE.match(line)
     if m:
@@ -165,6 +176,70 @@ def line_candidates(line: str, code: bool) -> list[tuple[int, int, str, str, str
     return out
 
 
+def joined_pieces(text: str, line: int, quote: int) -> list[tuple[int, int]]:
+    """Ranges of the literals that make up the value whose first quote is at ``quote``, on a line that starts at ``line``.
+
+    A value goes on over a line end if a bracket is open on its own line, or behind a
+    backslash or a plus; else only if a comma or a bracket follows its last piece, as in a
+    call that began earlier.  A literal that is itself a name is not part of it.
+    """
+    m = _JOIN.match(text, quote)
+    if not m:
+        return []
+    head = text[line:quote]
+    opened = sum(map(head.count, "([{")) > sum(map(head.count, ")]}"))
+    out, plain = [], None
+    while m:
+        g = 2 if m.group(2) is not None else 3
+        end = m.end()
+        rest = text[end : text.find("\n", end) if text.find("\n", end) >= 0 else len(text)].lstrip()
+        if out and rest[:1] in (":", "="):
+            break
+        if out and "\n" in m.group(1) and not opened and "\\" not in m.group(1) and "+" not in m.group(1) and plain is None:
+            plain = len(out)
+        out.append((m.start(g), m.end(g)))
+        m = _JOIN.match(text, end)
+    if plain is not None and not re.match(r"[ \t]*(?:#[^\n]*)?[\r\n \t]*[,)\]}]", text[out[-1][1] + 1 :]):
+        out = out[:plain]
+    return out
+
+
+def later_value(text: str, line: str, at: int, stop: int) -> tuple[str, str, list[tuple[int, int]]] | None:
+    """``(name, kind, pieces)`` of a value that starts below the line ``text[at:stop]``, if there is one."""
+    m = _LATER.search(line)
+    if m:
+        first = re.compile(r"\s*(?:#[^\n]*\n\s*)*[frbu]{0,2}(?=[\"'])").match(text, stop)
+        if first:
+            pieces = _in_brackets(text, first.end()) if m.group(3).startswith("(") else joined_pieces(text, first.end(), first.end())
+            return (m.group(2), "pair", pieces) if pieces else None
+        return None
+    m = _SCALAR.match(line)
+    if not m:
+        return None
+    depth, pieces, here = len(m.group(1)), [], stop + 1
+    while here < len(text):
+        end = text.find("\n", here)
+        end = end if end >= 0 else len(text)
+        row = text[here:end].rstrip()
+        if row.strip():
+            lead = len(row) - len(row.lstrip())
+            if lead <= depth or row.lstrip().startswith("```"):
+                break
+            pieces.append((here + lead, here + len(row)))
+        here = end + 1
+    return (m.group(2), "bare", pieces) if pieces else None
+
+
+def _in_brackets(text: str, quote: int) -> list[tuple[int, int]]:
+    """All literals that follow each other from ``quote`` on, whatever line they stand on."""
+    out, m = [], _JOIN.match(text, quote)
+    while m:
+        g = 2 if m.group(2) is not None else 3
+        out.append((m.start(g), m.end(g)))
+        m = _JOIN.match(text, m.end())
+    return out
+
+
 def _key_body(text: str, begin: re.Match) -> tuple[int, int]:
     nxt = _PEM.search(text, begin.end())
     end = _PEM_END.search(text, begin.end(), nxt.start() if nxt else len(text))
@@ -183,6 +258,17 @@ def basic_password(value: str) -> str | None:
     return plain.split(":", 1)[1] if ":" in plain else None
 
 
+#: Words of sentences that passphrases do without.
+_PROSE = re.compile(r"(?i)\b(?:a|an|the|is|are|was|be|must|may|can|not|no|your|my|for|to|of|or|and|in|on|at|with|from|enter|please|this|that|it|if|use|le|la|les|el|los|der|die|das|ist|est|es)\b")
+
+
+def _passphrase(name: str, value: str) -> bool:
+    """Three to eight words with a digit and without the look of a sentence, under a name that says password."""
+    parts = value.split()
+    named = re.search(r"(?i)(?:passphrase|passw(?:or[dt]|d)|pwd|_pass|^pass|kennwort|contrase\u00f1a|contrasena|mot_de_passe|motdepasse)$", name)
+    return bool(named and 3 <= len(parts) <= 8 and re.search(r"\d", value) and not re.search(r"[.:?!,;%{}<>()]", value) and not _PROSE.search(value))
+
+
 def weak_label(kind: str, name: str, value: str) -> int | None:
     """1 for patterns of credentials, 0 for patterns of other literals, null if unsure."""
     if kind == "pem":
@@ -194,6 +280,8 @@ def weak_label(kind: str, name: str, value: str) -> int | None:
         name = "password"
     if _PLACEHOLDER.match(value) or re.search(r"[{<]\w+[}>]|\$\{|\{\{|x{6,}|\*{4,}|\.\.\.", value):
         return 0
+    if " " in value.strip():
+        return 1 if _passphrase(name, value) else 0
     if _OTHER_NAME.search(name) or _UUID.match(value) or value.startswith(("data:", "http://", "https://", "git+")) or re.search(r"@[0-9a-f]{40}$", value):
         return 0
     m = _ISSUED.match(value)
@@ -220,7 +308,10 @@ _KINDS = ["pair", "bare", "code", "url", "conn", "basic", "header", "option", "c
 
 
 def shape_features(kind: str, name: str, path: str, before: str, value: str) -> list[float]:
-    """Shape of the value, kind of place, flags of the name, hashed words around and path."""
+    """Shape of the value, kind of place, flags of the name, hashed words around and path.
+
+    ``before`` holds the last words of the line before the value, lower case.
+    """
     secret = basic_password(value) if kind == "basic" else value
     v = secret if secret is not None else ""
     n = max(1, len(v))
@@ -238,7 +329,7 @@ def shape_features(kind: str, name: str, path: str, before: str, value: str) ->
     strong = named and bool(_PASSWORD_NAME.search(name) or _SECRET_NAME.search(name)) and not _OTHER_NAME.search(name)
     dense = [np.log(n), *(c / n for c in counts), other / n, turns / n, len(set(v)) / n, float(sum(c > 0 for c in (*counts, other))), float(strong and n >= 8), float(strong and bool(_IDENT.match(v)))]
     hashed = [0.0] * HASHED
-    parts = ["n:" + w for w in re.split(r"[_\-.\W]+", name.lower()) if w] + ["b:" + w for w in re.findall(r"[a-z]{3,}", before.lower())[-4:]]
+    parts = ["n:" + w for w in re.split(r"[_\-.\W]+", name.lower()) if w] + ["b:" + w for w in before.split()]
     name_ = path.rsplit("/", 1)[-1].lower()
     parts += ["e:" + name_.rsplit(".", 1)[-1], *("d:" + d for d in path.lower().split("/")[:-1])]
     for p in parts:
@@ -246,7 +337,11 @@ def shape_features(kind: str, name: str, path: str, before: str, value: str) ->
     return [*map(float, flags), *dense, *(float(kind == k) for k in _KINDS), *hashed]
 
 
-_CANDIDATE = "record_id bigint, field_name string, line_no bigint, start int, stop int, kind string, name string, path string, before string, value string, label int, fold int"
+_CANDIDATE = "record_id bigint, field_name string, line_no bigint, pieces array<struct<start:int,stop:int>>, kind string, name string, path string, before string, value string, label int, fold int"
+
+
+_PIECES = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+_BACKWARD = re.compile(r"[a-z]{3,}")
 
 
 def candidates(texts: DataFrame) -> DataFrame:
@@ -266,25 +361,42 @@ def candidates(texts: DataFrame) -> DataFrame:
                         s, e = _key_body(text, m)
                         line = text.rfind("\n", 0, m.start()) + 1
                         blocks.append((line, e))
-                        found.append((m.start(), s, e, "pem", "private_key", text[line : m.start()], text[s:e]))
+                        found.append((m.start(), [(s, e)], "pem", "private_key", text[line : m.start()], text[s:e]))
+                busy = 0
                 for at in trigger_lines(text, automaton):
                     if any(s <= at < e for s, e in blocks):
                         continue
                     stop = text.find("\n", at)
-                    line = text[at : stop if stop >= 0 else len(text)].rstrip("\r")
+                    stop = stop if stop >= 0 else len(text)
+                    line = text[at:stop].rstrip("\r")
                     i = bisect_right(places, at) - 1
                     code = i < 0 or files[i][1].endswith((".py", ".pyi"))
                     for s, e, name, kind, value in line_candidates(line, code):
-                        found.append((at + s, at + s, at + e, kind, name, line[:s], value))
+                        if at + s < busy:
+                            continue
+                        pieces = joined_pieces(text, at, at + s - 1) if kind == "pair" else []
+                        if len(pieces) > 1:
+                            value, busy = "".join(text[a:b] for a, b in pieces), pieces[-1][1]
+                        found.append((at + s, pieces or [(at + s, at + e)], kind, name, line[:s], value))
+                    below = later_value(text, line, at, stop)
+                    if below and below[2][0][0] >= busy:
+                        name, kind, pieces = below
+                        parts = [text[a:b] for a, b in pieces]
+                        # rows of a block scalar are words, unless all are pieces of one token
+                        value, busy = (" " if kind == "bare" and any(" " in p for p in parts) else "").join(parts), pieces[-1][1]
+                        if not any(s <= pieces[0][0] < e for s, e in blocks):
+                            found.append((pieces[0][0], pieces, kind, name, line, value))
                 seen, counted = 0, 0
-                for where, s, e, kind, name, before, value in sorted(found):
+                for where, pieces, kind, name, before, value in sorted(found):
                     counted += text.count("\n", seen, where)
                     seen = where
                     i = bisect_right(places, where) - 1
                     fold = xxhash.xxh32_intdigest(value.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF
-                    rows.append((rid, field, counted + 1, s, e, kind, name, files[i][1] if i >= 0 else "", before[-200:], value, weak_label(kind, name, value), fold))
-            cols = list(zip(*rows)) if rows else [()] * 12
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 5, pa.int32(), pa.int32()]
+                    words = [m.group()[::-1] for m in islice(_BACKWARD.finditer(before[::-1].lower()), 4)]
+                    spans = [{"start": s, "stop": e} for s, e in pieces]
+                    rows.append((rid, field, counted + 1, spans, kind, name, files[i][1] if i >= 0 else "", " ".join(words), value, weak_label(kind, name, value), fold))
+            cols = list(zip(*rows)) if rows else [()] * 11
+            kinds = [pa.int64(), pa.string(), pa.int64(), _PIECES, *[pa.string()] * 5, pa.int32(), pa.int32()]
             names = [c.split()[0] for c in _CANDIDATE.split(", ")]
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], names)
 
@@ -320,7 +432,7 @@ def markov_table(found: DataFrame) -> np.ndarray:
 
 def _with_features(found: DataFrame, table: np.ndarray) -> DataFrame:
     size = len(shape_features("pair", "", "", "", "")) + 2
-    ids = ["record_id", "field_name", "line_no", "start", "stop", "label", "fold"]
+    ids = ["record_id", "field_name", "line_no", "pieces", "label", "fold"]
     types = dict(found.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +451,9 @@ def _with_features(found: DataFrame, table: np.ndarray) -> DataFrame:
 
 
 def scored(records: DataFrame, ws: Workspace, fields: tuple[str, ...] = ("orig_context", "eval_script"), id_col: str = "record_id", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """All candidates with ``probability``: ``(record_id, field_name, line_no, start, stop, probability)``.
+    """All candidates with ``probability``: ``(record_id, field_name, line_no, pieces, probability)``.
+
+    ``pieces`` are the character ranges of the value.
 
     Without labelled candidates of both kinds nothing can be trained; then the weak
     labels themselves are the probabilities and unlabelled candidates get 0.
@@ -347,7 +461,7 @@ def scored(records: DataFrame, ws: Workspace, fields: tuple[str, ...] = ("orig_c
     cells = [F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("text")) for f in fields]
     texts = records.select(F.col(id_col).cast("bigint").alias("record_id"), F.explode(F.array(*cells)).alias("c")).select("record_id", "c.field_name", "c.text")
     found = ws.save(candidates(texts), "candidates")
-    out = ["record_id", "field_name", "line_no", "start", "stop"]
+    out = ["record_id", "field_name", "line_no", "pieces"]
     kinds = {r["label"]: r["n"] for r in found.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         return found.select(*out, F.coalesce(F.col("label"), F.lit(0)).cast("double").alias("probability"))
@@ -379,7 +493,7 @@ def masked(records: DataFrame, marked: DataFrame, fields: tuple[str, ...] = ("or
     Everything but the values is kept, line ends included.  Rows that repeat an id are
     masked alike.
     """
-    spans = marked.where(F.col("probability") >= cutoff).groupBy("record_id").agg(F.collect_set(F.struct("field_name", "start", "stop")).alias("spans"))
+    spans = marked.where(F.col("probability") >= cutoff).groupBy("record_id").agg(F.collect_set(F.struct("field_name", "pieces")).alias("spans"))
     base = records.select(F.col(id_col).cast("bigint").alias("record_id"), *[F.col(f).cast("string").alias(f) for f in fields])
     joined = base.join(spans, "record_id", "left")
 
@@ -389,11 +503,11 @@ def masked(records: DataFrame, marked: DataFrame, fields: tuple[str, ...] = ("or
             counts = []
             for i, spans_ in enumerate(cols["spans"]):
                 counts.append(len(spans_ or ()))
-                for s in sorted(spans_ or (), key=lambda s: -s["start"]):
-                    text = cols[s["field_name"]][i]
-                    value = text[s["start"] : s["stop"]]
-                    ends = "".join(re.findall(r"\r?\n", value))
-                    cols[s["field_name"]][i] = text[: s["start"]] + (MASK if not ends else re.sub(r"[^\r\n]+", MASK, value)) + text[s["stop"] :]
+                pieces = {(p["start"], p["stop"], s["field_name"]) for s in spans_ or () for p in s["pieces"]}
+                for start, stop, field in sorted(pieces, reverse=True):
+                    text = cols[field][i]
+                    value = text[start:stop]
+                    cols[field][i] = text[:start] + (MASK if "\n" not in value else re.sub(r"[^\r\n]+", MASK, value)) + text[stop:]
             yield pa.record_batch([batch.column("record_id"), *(pa.array(cols[f], pa.string()) for f in fields), pa.array(counts, pa.int32())], ["record_id", *fields, "masked_values"])
 
     return joined.mapInArrow(run, "record_id bigint, " + ", ".join(f"`{f}` string" for f in fields) + ", masked_values int")
