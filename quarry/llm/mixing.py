@@ -22,10 +22,15 @@ from quarry.workspace import Workspace
 
 
 def _solve(hist: DataFrame, want: dict[str, tuple[float, int, float]], rounds: int = 100, tolerance: float = 1e-10) -> dict[str, float]:
-    """Multipliers by source; ``want`` has (target tokens, repeats, mean tokens)."""
+    """Multipliers by source; ``want`` has (target tokens, repeats, mean tokens).
+
+    Raises where a source has not come within a millionth of its target, rather than
+    returning a mix that is off it.
+    """
     spark = hist.sparkSession
     state = {s: [0.0, -math.inf, math.inf] for s in want}
     open_ = set(want)
+    off: dict[str, float] = dict.fromkeys(want, math.inf)
     for _ in range(rounds):
         if not open_:
             break
@@ -42,6 +47,7 @@ def _solve(hist: DataFrame, want: dict[str, tuple[float, int, float]], rounds: i
             target = want[s][0]
             at, lo, hi = state[s]
             miss = r["got"] - target
+            off[s] = abs(miss) / target
             if abs(miss) <= tolerance * target:
                 open_.discard(s)
                 continue
@@ -53,6 +59,9 @@ def _solve(hist: DataFrame, want: dict[str, tuple[float, int, float]], rounds: i
                 open_.discard(s)
                 continue
             state[s] = [step, lo, hi]
+    missed = sorted(s for s in want if off[s] > 1e-6)
+    if missed:
+        raise RuntimeError(f"no rates found for {', '.join(missed)}")
     return {s: state[s][0] / want[s][2] for s in want}
 
 
