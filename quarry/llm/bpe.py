@@ -10,18 +10,21 @@ The join of a round is a merge join of pair keys with the sorted key column of t
 merge table, for all pieces of a batch at once; pieces never need each other, so
 the rounds run inside the task that holds the piece and cause no shuffle.
 
-The merge table has a fixed size (the vocabulary) and is read from the vocabulary
-file by every worker; the path is a parameter and must be the same on all executors.
+The merge table has a fixed size (the vocabulary).  The vocabulary file is a parameter;
+the driver's copy is sent to the executors through Spark's file server, and only where
+the driver has none is the path opened on the executors.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,11 +95,16 @@ def count_tokens(pieces: list[bytes], path: str = VOCABULARY) -> np.ndarray:
 def piece_counts(pieces: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``pieces(piece, ...)``, distinct, with their token count ``tokens``."""
     at = pieces.columns.index("piece")
+    sent = os.path.exists(path)
+    if sent:
+        pieces.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [p.encode("utf-8", "replace") for p in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(count_tokens(texts, path), pa.int64())], [*batch.schema.names, "tokens"])
+            counts = count_tokens(texts, SparkFiles.get(name) if sent else path)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], [*batch.schema.names, "tokens"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", tokens bigint"
     return pieces.mapInArrow(run, schema)

@@ -20,6 +20,8 @@ from quarry.operators.ranking import rank_within
 from quarry.workspace import Workspace
 
 CAPACITY = 2048
+#: Most rows of a plan that are broadcast (about 40 MB); 2,048 lengths need some ten thousand.
+MAX_PLAN = 500_000
 
 
 def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -102,9 +104,10 @@ def fill_containers(sizes: DataFrame, ws: Workspace, capacity: int = CAPACITY) -
     rows = [(length, b, lo, hi, first, each) for length, lo, hi, first, each in runs for b in range(lo // block[length], hi // block[length] + 1)]
     plan = spark.createDataFrame(rows, "length int, block bigint, lo bigint, hi bigint, first bigint, each bigint")
     blocks = spark.createDataFrame(list(block.items()), "length int, width bigint")
-    # both sides are bounded by the capacity, not by the documents
-    found = items.join(F.broadcast(blocks), "length").withColumn("block", F.floor(F.col("rank") / F.col("width")))
-    found = found.join(F.broadcast(plan), ["length", "block"]).where("rank between lo and hi")
+    # one row for each length, and a few of the plan: bounded by the capacity, not by the documents
+    bounded = lambda df, n: F.broadcast(df) if n <= MAX_PLAN else df.hint("merge")
+    found = items.join(bounded(blocks, len(block)), "length").withColumn("block", F.floor(F.col("rank") / F.col("width")))
+    found = found.join(bounded(plan, len(rows)), ["length", "block"]).where("rank between lo and hi")
     return found.select("doc_id", "part", "first_token", "length", (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).alias("container"))
 
 

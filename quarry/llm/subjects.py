@@ -6,7 +6,7 @@ word is the mean of its rows, a unit the mean of its words, and every subject ha
 independent logistic output on the unit.
 
 Training is data-parallel: the units of at most ``TRAIN_DOCS`` labelled documents
-(chosen by hash) are prepared once in ``PARTS`` partitions; in each step every
+(chosen by hash) are prepared once in partitions of ``PART_DOCS``; in each step every
 partition computes the gradient of its units under the shared parameters, and the
 summed gradient makes one Adam step.  A unit starts with the subjects of its
 document; after ``WARM`` steps a subject counts for a unit only where the model itself
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quarry.workspace import Workspace
 
 TRAIN_DOCS = 3_000
-PARTS = 4
+PART_DOCS = 750
 BUCKETS = 1 << 15
 DIM = 16
 STEPS = 60
@@ -128,7 +128,7 @@ def _training_sets(documents: DataFrame, labels: DataFrame, n_subjects: int, ws:
         if bags:
             yield pa.record_batch([pa.array([pickle.dumps(Prepared(bags, np.stack(targets)))], pa.binary()), pa.array([len(bags)], pa.int64())], ["data", "n"])
 
-    return ws.save(texts.repartition(PARTS, "doc_id").select("text", "places").mapInArrow(run, "data binary, n bigint"), "training")
+    return ws.save(texts.repartition(max(1, -(-train_docs // PART_DOCS)), "doc_id").select("text", "places").mapInArrow(run, "data binary, n bigint"), "training")
 
 
 class _Ids(dict):
@@ -218,13 +218,13 @@ def train(documents: DataFrame, labels: DataFrame, n_subjects: int, ws: Workspac
                     yield pa.record_batch([pa.array([pickle.dumps((at, d_table[at].astype(np.float32), d_out, d_bias, loss))], pa.binary())], ["g"])
 
         grads = [np.zeros_like(x) for x in params]
-        for r in data.select("data").mapInArrow(run, "g binary").collect():  # PARTS rows of the model's size at most
+        for r in data.select("data").mapInArrow(run, "g binary").collect():  # one row of at most the model's size for each PART_DOCS documents
             at, d_table, d_out, d_bias, _ = pickle.loads(r["g"])
             grads[0][at] += d_table
             grads[1] += d_out
             grads[2] += d_bias
         shared.unpersist()
-        rate = 0.08 if step <= STEPS * 0.7 else 0.03
+        rate = 0.08 if step <= steps * 0.7 else 0.03
         for i, g in enumerate(grads):
             g = g / n * 10
             first[i] = 0.9 * first[i] + 0.1 * g

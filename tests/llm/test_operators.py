@@ -170,7 +170,8 @@ def test_winnow_guarantee():
     assert len(winnow(h[:0], 8)) == 0 and len(winnow(h[:3], 8)) == 1
 
 
-def test_spans_match_all_windows(spark, ws):
+@pytest.mark.parametrize("crowd", [32, 2])
+def test_spans_match_all_windows(spark, ws, crowd):
     rng = random.Random(7)
     letters = "abcdefgh \r\né日"
     shared = ["".join(rng.choice(letters) for _ in range(n)) for n in (159, 160, 161, 300)] + ["-" * 400]
@@ -178,11 +179,13 @@ def test_spans_match_all_windows(spark, ws):
     texts += [None, "", texts[0], texts[0], texts[2].upper()]
     rows = [(i, None, None, None, t, None, None) for i, t in enumerate(texts)]
     df = records(spark, rows).withColumn("loaded_at", F.when(F.col("record_id") % 4 > 0, F.timestamp_seconds(F.col("record_id") * 1000)))
-    links, members = spans.shared_spans(df, ws)
-    got = {(r.record_id_a, r.record_id_b) for r in spans.span_pairs(links, members).collect()}
+    shared = spans.shared_spans(df, ws, crowd=crowd)
+    pairs = [(r.record_id_a, r.record_id_b) for r in spans.span_pairs(shared).collect()]
+    got = set(pairs)
+    assert len(got) == len(pairs)
     windows = [{t[i : i + 160] for i in range(len(t) - 159)} if t else set() for t in texts]
     assert got == {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if windows[a] & windows[b]}
-    share = {r.record_id: r.shared_chars for r in spans.shared_share(links, members, df).collect()}
+    share = {r.record_id: r.shared_chars for r in spans.shared_share(shared, df).collect()}
     for i, t in enumerate(texts):
         if t is None:
             assert share[i] is None
@@ -192,13 +195,39 @@ def test_spans_match_all_windows(spark, ws):
         assert share[i] == len(covered)
 
 
-def test_index_compacts(spark, ws):
-    index = spans.SpanIndex(ws, fanout=2)
+def test_index_compacts_and_opens_again(spark, ws, tmp_path):
+    index = spans.SpanIndex(spark, f"{tmp_path}/i", 4, fanout=2, crowd=4)
     found = set()
-    for b in range(5):
-        found |= {(r.a, r.b) for r in index.add(spark.createDataFrame([(1, b), (b + 10, b)], "h bigint, id bigint")).collect()}
-    assert found == set(itertools.combinations(range(5), 2))
-    assert [len(level) for level in index.levels] == [1, 0, 1]
+    for b in range(7):
+        found |= {(r.a, r.b) for r in index.add(spark.createDataFrame([(1, b), (b + 10, b), (2, b % 3 * 100 + b)], "h bigint, id bigint"), ws).collect()}
+        if b == 3:
+            assert sorted(index.open) == [(1, 4)]
+        if b == 4:
+            index.close()
+            index = spans.SpanIndex(spark, f"{tmp_path}/i", 99, fanout=2, crowd=4)
+            assert index.buckets == 4 and index.made == 5
+    # a hash in more than four texts is crowded and no longer paired
+    assert {p for p in itertools.combinations(range(4), 2)} <= found
+    assert {r.h for r in index.crowded().collect()} == {1, 2}
+    assert {r.id for r in index.crowd_rows().where("h = 1").collect()} == set(range(7))
+    index.close()
+
+
+def test_spans_over_two_sessions(spark, tmp_path):
+    rng = random.Random(17)
+    part = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    shared = [part(200) for _ in range(4)]
+    texts = [part(80) + rng.choice(shared) + part(90) for _ in range(24)]
+    texts += [texts[0], texts[13], texts[1]]
+    df = records(spark, [(i, None, None, None, t, None, None) for i, t in enumerate(texts)]).withColumn("loaded_at", F.timestamp_seconds(F.col("record_id") * 1000))
+    got = set()
+    for most in (12, 20, 27):
+        found = spans.shared_spans(df.where(F.col("record_id") < most), Workspace(spark, "test"), batches=2, index_path=f"{tmp_path}/i", fanout=2, crowd=3)
+        now = [(r.record_id_a, r.record_id_b) for r in spans.span_pairs(found).collect()]
+        assert len(now) == len(set(now)) and not got & set(now)
+        got |= set(now)
+    windows = [{t[i : i + 160] for i in range(len(t) - 159)} for t in texts]
+    assert got == {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if windows[a] & windows[b]}
 
 
 @pytest.mark.skipif(not os.path.exists(bpe.VOCABULARY), reason="no vocabulary file")
@@ -334,7 +363,7 @@ def test_empty_tables(spark):
     w = lambda: Workspace(spark, "test")
     assert splits.named_groups(none, w()).count() == 0
     assert capping.cap_records(none, w()).count() == 0
-    assert spans.span_pairs(*spans.shared_spans(none, w())).count() == 0
+    assert spans.span_pairs(spans.shared_spans(none, w())).count() == 0
     assert overlap.record_pairs(*overlap.cross_split(none, w())).count() == 0
     assert neardup.expand_pairs(*neardup.near_duplicates(none, w(), ["orig_context"])).count() == 0
     repos = spark.createDataFrame([], "repo_id string, topic string")
@@ -382,3 +411,59 @@ def test_markov_counts_whole_values(spark):
     df = spark.createDataFrame([(1, "a" * 5000 + "zq" * 500), (0, "a" * 5000)], "label int, value string")
     table = credentials.markov_table(df)
     assert table[credentials._code("z"), credentials._code("q")] > 2
+
+
+JOINED = '''```python
+## src/app/conf.py
+import os
+PASSWORD = ("Xk9#mQ2v"
+            "Lp0!zR7w")
+DB_PASSWORD = "Qr7#tYb2" \\
+    "Zk4!mNc9"
+API_PASSWORD = (
+    # rotated monthly
+    "Hw3$kPs8"
+    "Vt6&nJd1"
+)
+ADMIN_PWD = "Bf5*gLx4" + \\
+    "Cs2^wMz7"
+connect(
+    user="svc",
+    password="Rn8@hTq3"
+    "Dy9%vKb6",
+)
+MAIL_PASSWORD = "Gp4!sXe2"
+"""Set by the deployment."""
+OTHER = {"password": "Jm7#cWa5",
+         "user": "svc"}
+BACKUP_PASSPHRASE = "correct horse 9 battery"
+PASSWORD_HELP = "Enter at least 8 characters, please."
+```
+```yaml
+## conf/x.yml
+db_password: >-
+  Nz3!fGy8
+  Tk1&bRu6
+"user": "svc"
+```
+'''
+
+
+def test_joined_values_are_masked_piece_by_piece(spark, ws):
+    noise = [f'## conf/x{i}.cfg\npassword = Zq{i:04d}#kLm{i % 7}\nbuild_hash = "{random.Random(i).getrandbits(160):040x}"\nsecret = "${{SECRET_{i}}}"\nname = {WORDS[i]}\n' for i in range(80)]
+    df = records(spark, [(1, None, None, None, JOINED, None, None)] + [(i + 10, None, None, None, t, None, None) for i, t in enumerate(noise)])
+    marked = ws.save(credentials.scored(df, ws), "m")
+    lines = {r.line_no for r in credentials.credential_lines(marked).where("record_id = 1").collect()}
+    text = credentials.masked(df, marked).where("record_id = 1").first().orig_context
+    pieces = re.findall(r"\b[A-Z][a-z]\d[^\w\s][A-Za-z]+\d?[A-Za-z]?\d?", JOINED)
+    assert len(pieces) == 14 and not any(p in text for p in pieces)
+    assert "correct horse" not in text and "Enter at least 8" in text and '"""Set by the deployment."""' in text
+    assert lines == {4, 6, 10, 13, 17, 20, 22, 24, 30}
+    assert text.count("\n") == JOINED.count("\n") and text.count('"') == JOINED.count('"')
+
+
+def test_a_mix_that_does_not_converge_is_an_error(spark):
+    hist = spark.createDataFrame([("a", 5, 10), ("a", 50, 10)], "source string, tokens bigint, n bigint")
+    assert mixing._solve(hist, {"a": (200.0, 2, 27.5)})["a"] < 0
+    with pytest.raises(RuntimeError):
+        mixing._solve(hist, {"a": (200.0, 2, 27.5)}, rounds=2)
