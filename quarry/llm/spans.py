@@ -78,10 +78,45 @@ def window_hashes(chars: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mix((sums[k:] - sums[: n - k + 1]) * down)
 
 
-def fingerprints(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``texts(id, batch, text)`` to ``(id, batch, sig_a, sig_b, hashes)`` for texts of the length or more."""
+class Frequent:
+    """Hashes that more than ``crowd`` of the texts of one task hold, counted in pieces of bounded size."""
+
+    def __init__(self, crowd: int, most: int = 4_000_000):
+        self.crowd, self.most = crowd, most
+        self.parts: list[np.ndarray] = []
+        self.size, self.found = 0, set()
+        self.seen: set[bytes] = set()
+
+    def add(self, digest: bytes, hashes: np.ndarray) -> None:
+        if digest not in self.seen:  # equal texts count once
+            self.seen.add(digest)
+            self.parts.append(hashes)
+            self.size += len(hashes)
+            if self.size > self.most:
+                self.count()
+
+    def count(self) -> list[int]:
+        if self.parts:
+            values, times = np.unique(np.concatenate(self.parts), return_counts=True)
+            self.found.update(values[times > self.crowd].tolist())
+        self.parts, self.size, self.seen = [], 0, set()
+        return sorted(self.found)
+
+
+def fingerprints(texts: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
+    """``texts(id, batch, text)`` to ``(id, batch, sig_a, sig_b, hashes)`` for texts of the length or more.
+
+    A task ends with a row of batch -1 without id: the hashes it found to be crowded.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = Frequent(crowd)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows)) if rows else [()] * 5
+            return pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["id", "batch", "sig_a", "sig_b", "hashes"])
+
         for part in batches:
             rows = []
             for rid, batch, text in zip(*(c.to_pylist() for c in part.columns)):
@@ -90,14 +125,28 @@ def fingerprints(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 hashes = window_hashes(code_points(text), gram)
                 d = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
                 sig = int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
-                rows.append((rid, batch, *sig, np.unique(hashes[winnow(hashes, length - gram + 1)]).view(np.int64)))
-            cols = list(zip(*rows)) if rows else [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["id", "batch", "sig_a", "sig_b", "hashes"])
+                chosen = np.unique(hashes[winnow(hashes, length - gram + 1)]).view(np.int64)
+                frequent.add(d, chosen)
+                rows.append((rid, batch, *sig, chosen))
+            yield out(rows)
+        if crowded := frequent.count():
+            yield out([(None, -1, 0, 0, crowded)])
 
     return texts.select("id", "batch", "text").where("text is not null").mapInArrow(run, "id bigint, batch int, sig_a bigint, sig_b bigint, hashes array<bigint>")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame | None:
+    """All rows of the parts.
+
+    Spark takes a union of bucketed scans for bucketed even where it then reads them without
+    their buckets, so runs are joined one by one and united afterwards.
+    """
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
 class SpanIndex:
     """Immutable runs ``(h, id, batch)`` in a folder, beside the crowded hashes and the members of each text.
 
@@ -131,13 +180,6 @@ class SpanIndex:
         out.bucketBy(self.buckets, "h").sortBy("h").option("path", self._place(first, last)).saveAsTable(name)
         self.open[first, last] = name, self.spark.table(name)
 
-    def runs(self) -> DataFrame | None:
-        """All runs; the union keeps their buckets."""
-        out = None
-        for _, df in self.open.values():
-            out = df if out is None else out.unionByName(df)
-        return out
-
     def table(self, kind: str, schema: str) -> DataFrame:
         """All parts of one of the side tables ``crowd``, ``crowd_rows`` and ``members``."""
         names = finished_tables(self.spark, f"{self.path}/{kind}")
@@ -163,11 +205,23 @@ class SpanIndex:
             self.append("crowd_rows", rows.select("h", "id").join(crowd, "h", "left_semi"))
             rows = rows.join(crowd, "h", "left_anti")
         self._write(rows.withColumn("batch", F.lit(now)), now, now)
-        every = self.runs()
-        met = every.groupBy("h").agg(F.count("*").alias("n"), F.max("batch").alias("newest")).where((F.col("n") > 1) & (F.col("newest") == now)).select("h", "n")
+        earlier = [run for place, (_, run) in self.open.items() if place != (now, now)]
+        new = self.open[now, now][1]
+        own = new.groupBy("h").agg(F.count("*").alias("k"))
+        # both sides of each join have the same buckets, so nothing is shuffled
+        met = _union([run.join(own.select("h"), "h").select("h", "id", "batch") for run in earlier])
+        met = ws.save(met, f"met{now}") if met is not None else None
+        repeated = own.where("k > 1").select("h")
+        keys = ws.save(repeated if met is None else repeated.unionByName(met.select("h")).distinct(), f"keys{now}")
+        small = keys.limit(1_000_001).count() <= 1_000_000
+        rows = new.join(F.broadcast(keys) if small else keys.repartition(self.buckets, "h"), "h", "left_semi").select("h", "id", "batch")
+        rows = rows if met is None else rows.unionByName(met)
+        rows = rows.withColumn("n", F.count("*").over(W.partitionBy("h")))
         # a crowded hash collects nothing
         members = F.collect_list(F.when(F.col("n") <= self.crowd, F.struct("id", "batch")))
-        touched = ws.save(every.join(met, "h").groupBy("h").agg(F.first("n").alias("n"), members.alias("m")), f"touched{now}")
+        touched = ws.save(rows.groupBy("h").agg(F.first("n").alias("n"), members.alias("m")), f"touched{now}")
+        for name in ("met", "keys"):
+            ws.drop(f"{name}{now}")
         self.append("crowd", touched.where(F.col("n") > self.crowd).select("h"))
         self._compact(now)
         pair = lambda x: F.transform(F.filter("m", lambda y: (x["id"] < y["id"]) & ((x["batch"] == now) | (y["batch"] == now))), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
@@ -182,13 +236,10 @@ class SpanIndex:
             same = sorted(r for r in self.open if self._level(r) == last)
             if len(same) < self.fanout:
                 return
-            rows = None
-            for r in same:
-                rows = self.open[r][1] if rows is None else rows.unionByName(self.open[r][1])
             # rows of hashes that became crowded move out of the runs
             crowd = self.crowded()
-            self.append("crowd_rows", rows.join(crowd, "h", "left_semi").select("h", "id"))
-            self._write(rows.join(crowd, "h", "left_anti"), same[0][0], same[-1][1])
+            self.append("crowd_rows", _union([self.open[r][1].join(crowd, "h", "left_semi").select("h", "id") for r in same]))
+            self._write(_union([self.open[r][1].join(crowd, "h", "left_anti") for r in same]), same[0][0], same[-1][1])
             for r in same:
                 name, _ = self.open.pop(r)
                 self.spark.sql(f"DROP TABLE {name}")
@@ -196,9 +247,8 @@ class SpanIndex:
 
     def crowd_rows(self) -> DataFrame:
         """``(h, id)`` of all texts with a crowded hash, in the runs or moved out of them."""
-        out = self.table("crowd_rows", "h bigint, id bigint")
-        runs = self.runs()
-        return out if runs is None else out.unionByName(runs.join(self.crowded(), "h", "left_semi").select("h", "id"))
+        crowd = self.crowded()
+        return _union([self.table("crowd_rows", "h bigint, id bigint"), *(run.join(crowd, "h", "left_semi").select("h", "id") for _, run in self.open.values())])
 
     def close(self) -> None:
         """Forgets the tables in this session; the files stay."""
@@ -331,19 +381,22 @@ def shared_spans(
     path = index_path or f"{ws.path}/index"
     old = SpanIndex(spark, path).table("members", _MEMBER) if index_path else None
     again = old is not None and not old.isEmpty()
-    prints = ws.save(fingerprints(texts.join(old.select("id"), "id", "left_anti") if again else texts, length, gram), "prints")
+    prints = ws.save(fingerprints(texts.join(old.select("id"), "id", "left_anti") if again else texts, length, gram, crowd), "prints", ["batch"])
     key = ["sig_a", "sig_b"]
-    reps = prints.groupBy(*key).agg(F.min_by(F.struct("batch", "hashes"), "id").alias("f"), F.min("id").alias("id"))
-    reps = reps.select(*key, "id", "f.hashes", "f.batch", *([] if again else [F.col("id").alias("rep")]))
+    known = prints.where("batch >= 0")
+    firsts = known.groupBy(*key).agg(F.min("id").alias("rep"))
     if again:
-        seen = old.where("rep = id").select(*key, "rep")
-        reps = reps.join(seen, key, "left").select(*key, "id", "hashes", "batch", F.coalesce("rep", "id").alias("rep"))
-    reps = ws.save(reps, "reps", ["batch"])
-    rows = reps.where("rep = id").select("batch", "id", F.explode("hashes").alias("h"))
+        seen = old.where("rep = id").select(*key, F.col("rep").alias("old_rep"))
+        firsts = firsts.join(seen, key, "left").select(*key, F.coalesce("old_rep", "rep").alias("rep"))
+    # written, so that a text with a third of all records as copies is split
+    members = ws.save(known.select(*key, "id").join(ws.save(firsts, "firsts"), key), "members")
+    copies = members.where("id != rep").select("id")
+    few = copies.limit(1_000_001).count() <= 1_000_000
+    rows = known.join(F.broadcast(copies) if few else copies, "id", "left_anti").select("batch", "id", F.explode("hashes").alias("h"))
+    size = known.agg(F.sum(F.size("hashes"))).first()[0] or 0
     # buckets of about 4 million rows
-    size = rows.count() if index_path else prints.agg(F.sum(F.size("hashes"))).first()[0] or 0
     index = SpanIndex(spark, path, max(8, spark.sparkContext.defaultParallelism, size // 4_000_000), fanout, crowd)
-    index.append("crowd", rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("h"))
+    index.append("crowd", prints.where("batch < 0").select(F.explode("hashes").alias("h")).distinct())
     found = None
     for b in range(batches if time_col else 1):
         pairs = index.add(rows.where(F.col("batch") == b).select("h", "id"), ws)
@@ -356,14 +409,13 @@ def shared_spans(
     windows = ws.save(crowded_windows(wanted, length, gram), "every_window")
     two = windows.groupBy("wa", "wb").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("wa", "wb")
     windows = ws.save(windows.join(two, ["wa", "wb"], "left_semi"), "windows")
-    members = ws.save(prints.select(*key, "id").join(reps.select(*key, "rep"), key).select(*key, "rep", "id"), "members")
     own = members.select("rep", "id", F.lit(True).alias("fresh"))
     if index_path:
-        index.append("members", members)
+        index.append("members", members.select(*key, "rep", "id"))
         own = own.unionByName(old.select("rep", "id", F.lit(False).alias("fresh"))) if again else own
     own = ws.save(own, "own")
     index.close()
-    for name in ("prints", "reps", "members", "every_window", "index", *(f"touched{n}" for n in range(1, index.made + 1))):
+    for name in ("prints", "firsts", "members", "every_window", "index", *(f"touched{n}" for n in range(1, index.made + 1))):
         ws.drop(name)
     return Shared(links, windows, own, length)
 
