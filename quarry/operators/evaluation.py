@@ -98,19 +98,3 @@ def test_summary(runs: DataFrame) -> DataFrame:
         (F.countDistinct(F.when(F.col("valid"), F.col("id"))) * 100.0 / F.nullif(F.countDistinct("id"), F.lit(0))).alias("valid_percent"), F.avg(F.when(F.col("valid"), F.col("branch_coverage"))).alias("branch_coverage"),
         (F.sum("passed") / F.nullif(F.sum(total), F.lit(0))).alias("pass_ratio"), F.count_if(ran & (total > 0) & (F.col("failed") == total)).alias("all_failed"), F.count_if(ran & (total > 0) & (F.col("errored") == total)).alias("all_errored"),
     )
-
-
-def lcs_rouge(pred: Column, ref: Column) -> Column:
-    """Rouge-L F1 of token arrays by a fold over rows of the alignment table."""
-    zero = F.transform(F.concat(F.array(F.lit("")), ref), lambda _: F.lit(0))
-
-    def row(prev: Column, token: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            here = F.when(F.get(ref, j) == token, F.get(prev, j) + 1).otherwise(F.greatest(F.get(prev, j + 1), F.element_at(acc, -1)))
-            return F.concat(acc, F.array(here))
-
-        places = F.when(F.size(ref) > 0, F.sequence(F.lit(0), F.size(ref) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, F.array(F.lit(0)), cell)
-
-    best = F.element_at(F.aggregate(pred, zero, row), -1)
-    return F.when((F.size(pred) == 0) | (F.size(ref) == 0) | (best == 0), F.lit(0.0)).otherwise(F.lit(2.0) * best / (F.size(pred) + F.size(ref)))

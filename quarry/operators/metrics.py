@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +50,13 @@ def distribution(df: DataFrame, value: str, by: list[str] | None = None) -> Data
     return df.groupBy(*(by or [])).agg(*aggs)
 
 
+def count_distribution(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """Mean, population deviation and the counts of 1, of 2, over 5 and over 10 of whole numbers."""
+    v = F.col(value)
+    aggs = [F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.count_if(v == 1).alias("one"), F.count_if(v == 2).alias("two"), F.count_if(v > 5).alias("over_5"), F.count_if(v > 10).alias("over_10")]
+    return df.groupBy(*(by or [])).agg(*aggs)
+
+
 def execution_summary(runs: DataFrame, by: list[str]) -> DataFrame:
     """Counts by status, rows without a result and the distinct bases that succeeded."""
     s = F.col("status")
@@ -78,44 +89,107 @@ def reward_accuracy(df: DataFrame) -> DataFrame:
     return df.agg(F.avg((F.col("chosen") > F.col("rejected")).cast("double")).alias("accuracy"))
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+#: The public NIST rules of tokenisation, in their order.
+NIST_JOIN = [("<skipped>", ""), (r"-\n", ""), (r"\n", " ")]
+NIST_XML = [("&gt;", ">"), ("&lt;", "<"), ("&quot;", '"'), ("&amp;", "&")]
+NIST_SPLIT = [(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 ")]
 
 
 def normalise_for_bleu(col: Column) -> Column:
-    """Lower case, punctuation set apart, as blank-separated tokens."""
-    c = F.regexp_replace(F.lower(col), r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 ")
-    c = F.regexp_replace(F.regexp_replace(c, r"([^0-9])([\.,])", "$1 $2 "), r"([\.,])([^0-9])", " $1 $2")
-    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    """Blank-separated lower-case tokens with punctuation set apart by the public rules."""
+    c = col
+    for pattern, new in NIST_JOIN:
+        c = F.regexp_replace(c, pattern, new)
+    for name, sign in NIST_XML:
+        c = F.replace(c, F.lit(name), F.lit(sign))
+    c = F.concat(F.lit(" "), F.lower(c), F.lit(" "))
+    for pattern, new in NIST_SPLIT:
+        c = F.regexp_replace(c, pattern, new)
+    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+
+
+def _bleu(pred: list[str], refs: list[list[str]], most: int) -> float:
+    if not pred or not any(set(pred) & set(r) for r in refs):
+        return 0.0
+    grams = lambda ws, n: Counter(zip(*(ws[i:] for i in range(n))))
+    total = 0.0
+    for n in range(1, most + 1):
+        best: Counter = Counter()
+        for r in refs:
+            best |= grams(r, n)
+        extra = n > 1
+        total += math.log(((grams(pred, n) & best).total() + extra) / (max(len(pred) - n + 1, 0) + extra))
+    return math.exp(total / most + min(0.0, 1 - (min(map(len, refs)) + 1) / (len(pred) + 1)))
+
+
+def smoothed_bleu(pred: Column, refs: Column, most: int = 4) -> Column:
+    """Smoothed sentence BLEU of a token array against an array of references, 0..1; null where one is null.
+
+    An n-gram counts as often as it stands in the reference that has it most.  Precisions of
+    2..n grams get one added to both counts; the brevity penalty is
+    min(0, 1 - (ref + 1) / (pred + 1)) with the shortest reference.  No common word gives 0.
+    """
+    @F.pandas_udf("double")
+    def run(preds: pd.Series, many: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or rs is None else _bleu(list(p), [list(r) for r in rs if r is not None] or [[]], most) for p, rs in zip(preds, many)], dtype="float64")
 
+    return F.when(pred.isNotNull() & refs.isNotNull(), run(pred, refs))
 
-def clipped_matches(pred: Column, ref: Column, n: int) -> Column:
-    """How many n-grams of the prediction are in the reference, each at most as often as there."""
-    from quarry.functions.text import let
 
-    count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-    both = F.struct(_grams(pred, n).alias("p"), _grams(ref, n).alias("r"))
-    return let(both, lambda z: F.aggregate(F.array_distinct(z["p"]), F.lit(0), lambda acc, g: acc + F.least(count(z["p"], g), count(z["r"], g))))
+def rouge_n(pred: Column, ref: Column, n: int) -> Column:
+    """F1 of the n-grams of two token arrays, counted with repetitions; 0 where one has none."""
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        grams = lambda ws: Counter(zip(*(ws[i:] for i in range(n))))
+        out = []
+        for x, y in zip(a, b):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            gx, gy = grams(list(x)), grams(list(y))
+            total = gx.total() + gy.total()
+            out.append(2 * (gx & gy).total() / total if gx and gy else 0.0)
+        return pd.Series(out, dtype="float64")
 
+    return F.when(pred.isNotNull() & ref.isNotNull(), run(pred, ref))
 
-def smoothed_bleu(pred: Column, ref: Column, most: int = 4) -> Column:
-    """Smoothed sentence BLEU of token arrays against one reference, 0..1.
 
-    Precisions of 2..n grams get one added to both counts; the brevity penalty is
-    min(0, 1 - (ref + 1) / (pred + 1)).  No common word gives 0.
+def rouge_l(pred: Column, ref: Column) -> Column:
+    """F1 of the longest common subsequence of two token arrays; 0 where one is empty.
+
+    The subsequence is found bit by bit: a word of the prediction updates a whole row of
+    the alignment table at once, as one integer.
     """
-    from quarry.functions.text import let
-
-    def score(z: Column) -> Column:
-        p, r = z["p"], z["r"]
-        total = F.lit(0.0)
-        for n in range(1, most + 1):
-            extra = 0 if n == 1 else 1
-            total = total + F.ln((clipped_matches(p, r, n) + extra).cast("double") / (F.greatest(F.size(p) - n + 1, F.lit(0)) + extra))
-        brevity = F.least(F.lit(0.0), F.lit(1.0) - (F.size(r) + 1) / (F.size(p) + 1))
-        return F.when((F.size(p) == 0) | ~F.arrays_overlap(p, r), F.lit(0.0)).otherwise(F.exp(total / most + brevity))
-
-    return let(F.struct(pred.alias("p"), ref.alias("r")), score)
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else 2 * common_length(list(x), list(y)) / (len(x) + len(y)) if len(x) and len(y) else 0.0 for x, y in zip(a, b)], dtype="float64")
+
+    return F.when(pred.isNotNull() & ref.isNotNull(), run(pred, ref))
+
+
+def common_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
+
+
+def repo_summary(results: DataFrame) -> DataFrame:
+    """One row over ``results(em, es, status)``: means of both scores, share that passed, rows run and rows out of time.
+
+    Without rows all means are null.  A null status was not run and counts for no share.
+    """
+    ran = F.col("status").isNotNull()
+    return results.agg(
+        F.avg("em").alias("em"), F.avg("es").alias("es"), F.avg(F.when(ran, (F.col("status") == "success").cast("double"))).alias("pass_1"),
+        F.count_if(ran).alias("computed"), F.count_if(F.coalesce(F.col("status") == "timeout", F.lit(False))).alias("timeouts"),
+    )
 
 
 def answers_agree(output: Column, expected: Column) -> Column:

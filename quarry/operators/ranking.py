@@ -31,3 +31,18 @@ def rank_within(df: DataFrame, group: list[str], order: list[str], ws: Workspace
         same = same & F.col(g).eqNullSafe(F.col(k))
     joined = seen.join(starts, same)
     return joined.select(*df.columns, (F.col("_row") - F.col("_first") + F.col("_before")).alias("rank"))
+
+
+def row_before(df: DataFrame, group: list[str], order: list[str], value: str, name: str, ws: Workspace) -> DataFrame:
+    """Adds ``name``: the ``value`` of the row before within the group, null for the first.
+
+    Rows are ranked across partitions and joined with the rank before, so a group of any
+    size is spread; a window would sort it in one task.  Nulls form a group of their own.
+    """
+    ranked = ws.save(rank_within(df, group, order, ws, f"{name}_ranks"), f"{name}_ranked")
+    keys = [f"_b{i}" for i in range(len(group))]
+    before = ranked.select(*[F.col(g).alias(k) for g, k in zip(group, keys)], (F.col("rank") + 1).alias("_next"), F.col(value).alias(name))
+    same = F.col("rank") == F.col("_next")
+    for g, k in zip(group, keys):
+        same = same & F.col(g).eqNullSafe(F.col(k))
+    return ranked.join(before, same, "left").select(*df.columns, name)

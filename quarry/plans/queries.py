@@ -13,7 +13,8 @@ from quarry.functions.fences import block_rows
 from quarry.functions.names import base_idx, canonical_label, canonical_repo
 from quarry.functions import codetext
 from quarry.functions.pyast import function_table, per_row, same_behaviour_tree, token_count
-from quarry.operators import chat, evaluation, filters, graph, joins, metrics, retrieval, sampling, slicing
+from quarry.operators import chat, filters, graph, joins, metrics, retrieval, sampling, slicing
+from quarry.operators.ranking import rank_within, row_before
 from quarry.plans.sized import spread
 from quarry.plans.runners import cached_calls, executed
 from quarry.workspace import Workspace
@@ -151,8 +152,8 @@ def pass_at_k_mean(s, d):
 @query(f"""WITH r AS (SELECT record_id, func_name, lag(func_name) OVER (PARTITION BY {REPO} ORDER BY record_id) AS other FROM checked_test_set_final)
 SELECT record_id, (func_name = other)::INT AS em, round(1.0::DOUBLE - levenshtein(func_name, other)::DOUBLE / greatest(len(func_name), len(other)), 9) AS es FROM r WHERE other IS NOT NULL""")
 def exact_edit_similarity(s, d):
-    w = W.partitionBy("repo").orderBy("record_id")
-    r = table(s, d, "checked_test_set_final").select("record_id", "func_name", canonical_repo("repo_name").alias("repo")).withColumn("other", F.lag("func_name").over(w)).where("other is not null")
+    r = table(s, d, "checked_test_set_final").select("record_id", "func_name", canonical_repo("repo_name").alias("repo"))
+    r = row_before(r, ["repo"], ["record_id"], "func_name", "other", Workspace(s, "lag")).where("other is not null")
     return r.select("record_id", metrics.exact_match(F.col("func_name"), F.col("other")).alias("em"), F.round(metrics.edit_similarity(F.col("func_name"), F.col("other")), 9).alias("es"))
 
 
@@ -255,10 +256,11 @@ def small_repos(s, d):
 
 
 @query(f"""WITH l AS (SELECT base, arg_max(coverage_rate, struct_pack(a := run_at, b := script_key, c := coverage_rate)) AS fresh FROM {RUNS} WHERE base IS NOT NULL AND NOT isnan(coverage_rate) GROUP BY base)
-SELECT record_id, coalesce(fresh, coverage_rate) AS coverage_rate FROM (SELECT record_id, coverage_rate, {BASE} AS base FROM checked_test_set_final) r LEFT JOIN l ON r.base = l.base""")
+SELECT record_id, coalesce(fresh, CASE WHEN isnan(coverage_rate) THEN NULL ELSE coverage_rate END) AS coverage_rate FROM (SELECT record_id, coverage_rate, {BASE} AS base FROM checked_test_set_final) r LEFT JOIN l ON r.base = l.base""")
 def update_coverage(s, d):
+    """The last measured rate of each record, its own where no run has one; a rate that is no number is null."""
     last = runs(s, d).where("base is not null and coverage_rate is not null and not isnan(coverage_rate)").groupBy("base").agg(F.max_by("coverage_rate", F.struct("run_at", "script_key", "coverage_rate")).alias("coverage_rate"))
-    r = table(s, d, "checked_test_set_final").select("record_id", "coverage_rate", base_idx("idx").alias("base"))
+    r = table(s, d, "checked_test_set_final").select("record_id", F.nanvl("coverage_rate", F.lit(None).cast("double")).alias("coverage_rate"), base_idx("idx").alias("base"))
     return joins.update_columns(r, last, ["base"]).select("record_id", "coverage_rate")
 
 
@@ -304,9 +306,16 @@ def callee_counts(s, d):
     return graph.callee_counts(graph.edges(table(s, d, "call_graphs")))
 
 
-@query()
+@query(f"""SELECT repo_id, count(DISTINCT id) AS n_ids, 0::BIGINT AS n_misplaced FROM (SELECT repo_id, caller AS id FROM {_EDGES} UNION SELECT repo_id, callee FROM {_EDGES}) GROUP BY repo_id""")
 def topological_order(s, d):
-    return graph.topological_order(graph.edges(table(s, d, "call_graphs")))
+    """Ids of each graph and how many of its edges stand in the wrong order though they lie on no cycle (none may)."""
+    e = graph.edges(table(s, d, "call_graphs"))
+    order = graph.topological_order(e)
+    loops = graph.closure(e, Workspace(s, "loops")).select("repo_id", F.col("root").alias("callee"), F.col("id").alias("caller"))
+    place = lambda c: order.select("repo_id", F.col("id").alias(c), F.col("place").alias(f"{c}_place"))
+    wrong = e.where("caller <> callee").join(place("caller"), ["repo_id", "caller"]).join(place("callee"), ["repo_id", "callee"]).where("callee_place > caller_place").join(loops, ["repo_id", "caller", "callee"], "left_anti")
+    bad = wrong.groupBy("repo_id").agg(F.count("*").alias("bad"))
+    return order.groupBy("repo_id").agg(F.countDistinct("id").alias("n_ids")).join(bad, "repo_id", "left").select("repo_id", "n_ids", F.coalesce("bad", F.lit(0)).cast("bigint").alias("n_misplaced"))
 
 
 @query(f"""WITH k AS (SELECT DISTINCT regexp_replace(caller, '\\.[^.]*$', '') AS m FROM {_EDGES}),
@@ -352,12 +361,15 @@ def stop_token_cut(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", F.md5(T.cut_at_stops("text", [" the ", "def ", "```"])).alias("cut_md5"))
 
 
-@query(f"""WITH b AS (SELECT DISTINCT text AS item FROM documents WHERE {_SRC} = 'commit_message' AND len(text) >= 40)
-SELECT DISTINCT d.doc_id AS id FROM documents d JOIN b ON contains(d.text, b.item)""")
+@query(f"""WITH b AS (SELECT DISTINCT text AS item FROM documents WHERE {_SRC} IN ('commit_message', 'prompt') AND trim(text, ' ') <> ''),
+s AS (SELECT DISTINCT func_name AS item FROM checked_test_set_final WHERE trim(func_name, ' ') <> '')
+SELECT DISTINCT d.doc_id AS id FROM documents d JOIN (SELECT item FROM b UNION SELECT item FROM s) i ON contains(d.text, i.item)""")
 def decontaminate(s, d):
+    """Documents that contain a whole commit message or prompt, or the name of a delivered function."""
     t = spread(table(s, d, "documents"))
-    items = t.where((canonical_label("source") == "commit_message") & (F.length("text") >= 40)).select(F.col("text").alias("item")).distinct()
-    return filters.contaminated(t.where("text is not null").select(F.col("doc_id").alias("id"), "text"), items)
+    items = t.where(canonical_label("source").isin("commit_message", "prompt")).select(F.col("text").alias("item"))
+    names = table(s, d, "checked_test_set_final").select(F.col("func_name").alias("item"))
+    return filters.contaminated(t.select(F.col("doc_id").alias("id"), "text"), items.unionByName(names).distinct(), Workspace(s, "decontaminate"))
 
 
 _TOK = r"len(list_filter(string_split_regex({c}, '\s+'), lambda w: w <> ''))"
@@ -376,7 +388,7 @@ def sft_seqlen_budget(s, d):
 @query(f"""SELECT doc_id // 1000 AS batch, sum(n)::BIGINT AS tokens, (sum(n) // 128)::BIGINT AS blocks, (sum(n) % 128)::BIGINT AS dropped FROM (SELECT doc_id, {_TOK.format(c='text')} + 1 AS n FROM documents WHERE text IS NOT NULL) GROUP BY 1""")
 def pretrain_blocks(s, d):
     t = table(s, d, "documents").where("text is not null").select(F.expr("doc_id div 1000").alias("batch"), "doc_id", (F.size(T.white_tokens("text")) + 1).alias("n"))
-    return chat.pretrain_blocks(t, ["batch"], ["doc_id"], "n", 128)
+    return chat.pretrain_blocks(t, ["batch"], "n", 128)
 
 
 @query("""WITH p AS (SELECT doc_id, doc_id // 100 AS batch, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY doc_id // 100) AS n FROM documents)
@@ -393,19 +405,13 @@ def pairwise_max_target(s, d):
     return g.select("idx", F.size(T.white_tokens("instruction")).alias("prompt_tokens"), F.array_max(F.transform("generations", lambda x: F.size(T.white_tokens(x)))).alias("target_tokens"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id // 1000 AS batch, {_TOK.format(c='text')} AS n FROM documents WHERE text IS NOT NULL)
+SELECT batch, count(*) AS n_rows, sum(n)::BIGINT AS n_tokens, true AS fits, true AS dense FROM t WHERE n > 0 AND n <= 512 GROUP BY batch""")
 def pack_knapsack(s, d):
+    """Packs of each batch: every row that fits is packed once, none is over 512, and all but one pack are over half full."""
     t = table(s, d, "documents").where("text is not null").select(F.expr("doc_id div 1000").alias("batch"), F.col("doc_id").alias("pos"), F.size(T.white_tokens("text")).alias("length")).where("length > 0")
-    return chat.pack_batches(t, "batch", "pos", "length", 512)
-
-
-@query()
-def chat_align(s, d):
-    """Generations as alpaca and as thread records, rendered with a template."""
-    g = table(s, d, "generations").select("idx", "instruction", F.lit("").alias("input"), F.get("generations", F.lit(0)).alias("output"))
-    rows = chat.align_alpaca(g).where(chat.valid_for("sft"))
-    pairs = chat.render_pairs(chat.TEMPLATES["qwen"], F.concat("prompt", "response"), F.col("system"))
-    return rows.select("idx", F.size("prompt").alias("n_prompt"), F.explode(pairs).alias("p")).select("idx", "n_prompt", F.col("p.source").alias("source"), F.col("p.target").alias("target"))
+    packs = chat.pack_batches(t, "batch", "pos", "length", 512).groupBy("batch", "pack").agg(F.sum("length").alias("used"), F.countDistinct("pos").alias("n"))
+    return packs.groupBy("batch").agg(F.sum("n").alias("n_rows"), F.sum("used").alias("n_tokens"), (F.max("used") <= 512).alias("fits"), (F.count_if(F.col("used") * 2 <= 512) <= 1).alias("dense"))
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
@@ -413,7 +419,7 @@ s AS (SELECT query_id, vec_id AS doc_id, round(list_dot_product(qv::DOUBLE[], em
 SELECT query_id, doc_id, score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM s) WHERE place <= 3""")
 def nearest_vectors(s, d):
     e = table(s, d, "embeddings")
-    return retrieval.nearest(e.where(F.col("vec_id") % 20 == 0), spread(e), 3, "vec_id", "embedding")
+    return retrieval.nearest(e.where(F.col("vec_id") % 20 == 0), spread(e), 3, "vec_id", "embedding", Workspace(s, "nearest"))
 
 
 @query(f"""WITH b AS (SELECT {REPO} AS repo, coverage_rate, sandbox_ast_check FROM checked_test_set_final)
@@ -424,16 +430,37 @@ def dataset_stats(s, d):
     return metrics.dataset_stats(b, b.where(~F.isnan("coverage_rate") & (F.col("coverage_rate") >= 0.8))).withColumn("mean_coverage", F.round("mean_coverage", 9))
 
 
-@query(f"SELECT {REPO} AS repo, list_sort(list(record_id)) AS record_ids FROM checked_test_set_final GROUP BY 1")
+@query(f"""WITH r AS (SELECT record_id, {REPO} AS repo, (row_number() OVER (PARTITION BY {REPO} ORDER BY record_id) - 1) // 100 AS part FROM checked_test_set_final)
+SELECT repo, part, list_sort(list(record_id)) AS record_ids FROM r GROUP BY repo, part""")
 def group_to_list(s, d):
-    return table(s, d, "checked_test_set_final").groupBy(canonical_repo("repo_name").alias("repo")).agg(F.array_sort(F.collect_list("record_id")).alias("record_ids"))
-
-
-@query()
+    """Records of each repository as lists of at most 100; a repository of any size is spread over many rows."""
+    t = table(s, d, "checked_test_set_final").select("record_id", canonical_repo("repo_name").alias("repo"))
+    ranked = rank_within(t, ["repo"], ["record_id"], Workspace(s, "lists"))
+    return ranked.groupBy("repo", F.expr("rank div 100").alias("part")).agg(F.array_sort(F.collect_list("record_id")).alias("record_ids"))
+
+
+_NIST = r"""list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace(' ' || lower(replace(replace(replace(replace(
+ regexp_replace(regexp_replace(replace({c}, '<skipped>', ''), '-\n', '', 'g'), '\n', ' ', 'g'), '&gt;', '>'), '&lt;', '<'), '&quot;', '"'), '&amp;', '&')) || ' ',
+ '([\{{-~\[-` -&\(-\+:-@/])', ' \1 ', 'g'), '([^0-9])([\.,])', '\1 \2 ', 'g'), '([\.,])([^0-9])', ' \1 \2', 'g'), '([0-9])(-)', '\1 \2 ', 'g'), '\s+'), lambda w: w <> '')"""
+
+
+@query(f"""WITH g AS (SELECT {BASE} AS base, idx, i - 1 AS pos, generations[i] AS raw FROM generations, unnest(range(1, len(generations) + 1)) AS u(i) WHERE instruction IS NOT NULL),
+a AS (SELECT idx, base, pos::INT AS pos, {_NIST.format(c='raw')} AS p FROM g WHERE raw IS NOT NULL),
+r AS (SELECT DISTINCT {BASE} AS base, orig_func FROM checked_test_set_final WHERE orig_func IS NOT NULL),
+rt AS (SELECT base, row_number() OVER () AS ref, {_NIST.format(c='orig_func')} AS t FROM r WHERE base IN (SELECT base FROM a)),
+rl AS (SELECT base, min(len(t)) AS shortest FROM rt GROUP BY base),
+rg AS (SELECT base, n, gram, max(k) AS k FROM (SELECT base, ref, n, t[i:i + n - 1] AS gram, count(*) AS k FROM rt, unnest([1, 2, 3, 4]) AS v(n), unnest(range(1, len(t) - n + 2)) AS u(i) GROUP BY ALL) GROUP BY ALL),
+ag AS (SELECT idx, base, pos, n, p[i:i + n - 1] AS gram, count(*) AS k FROM a, unnest([1, 2, 3, 4]) AS v(n), unnest(range(1, len(p) - n + 2)) AS u(i) GROUP BY ALL),
+m AS (SELECT idx, pos, ag.n, sum(least(ag.k, rg.k)) AS hit FROM ag JOIN rg ON ag.base = rg.base AND ag.n = rg.n AND ag.gram = rg.gram GROUP BY ALL),
+s AS (SELECT a.idx, a.pos, len(a.p) AS len, rl.shortest, v.n, coalesce(m.hit, 0) AS hit FROM a JOIN rl ON a.base = rl.base, unnest([1, 2, 3, 4]) AS v(n) LEFT JOIN m ON m.idx = a.idx AND m.pos = a.pos AND m.n = v.n)
+SELECT idx, pos, round(CASE WHEN bool_or(n = 1 AND hit = 0) THEN 0 ELSE exp(sum(CASE WHEN n = 1 AND hit = 0 THEN 0 ELSE ln((hit + (n > 1)::INT)::DOUBLE / (greatest(len - n + 1, 0) + (n > 1)::INT)) END) / 4 + least(0.0, 1 - (any_value(shortest) + 1)::DOUBLE / (any_value(len) + 1))) END, 9) AS bleu
+FROM s GROUP BY idx, pos""")
 def bleu_scores(s, d):
-    g = spread(table(s, d, "generations")).where("instruction is not null").select("idx", F.posexplode("generations").alias("pos", "a")).where("a is not null")
-    r = table(s, d, "checked_test_set_final").select(base_idx("idx").alias("idx"), "orig_func").groupBy("idx").agg(F.min("orig_func").alias("ref"))
-    return g.withColumn("idx", base_idx("idx")).join(r, "idx").select("idx", "pos", F.round(metrics.smoothed_bleu(metrics.normalise_for_bleu(F.col("a")), metrics.normalise_for_bleu(F.col("ref"))), 9).alias("bleu"))
+    """Each candidate against all different functions of its base; a base has few."""
+    g = spread(table(s, d, "generations")).where("instruction is not null").select("idx", F.posexplode("generations").alias("pos", "a")).where("a is not null").withColumn("base", base_idx("idx"))
+    r = table(s, d, "checked_test_set_final").where("orig_func is not null").select(base_idx("idx").alias("base"), metrics.normalise_for_bleu(F.col("orig_func")).alias("ref"))
+    refs = r.join(g.select("base").distinct(), "base", "left_semi").groupBy("base").agg(F.collect_set("ref").alias("refs"))
+    return g.join(refs, "base").select("idx", "pos", F.round(metrics.smoothed_bleu(metrics.normalise_for_bleu(F.col("a")), F.col("refs")), 9).alias("bleu"))
 
 
 @query()
@@ -444,11 +471,21 @@ def function_features(s, d):
     return f.withColumn("kept", filters.function_keep(F.col("kind"))).select("record_id", "kind", "class_name", "name", "n_args", "n_statements", "n_branches", "n_code_lines", "kept")
 
 
+@query(r"""SELECT record_id, coalesce(contains(regexp_replace(eval_script, '\s+', '', 'g'), regexp_replace(orig_func, '\s+', '', 'g')) AND orig_func <> '', false) AS same FROM checked_test_set_final""")
+def body_match(s, d):
+    """Whether the script holds the text of the original function, blanks aside."""
+    t = table(s, d, "checked_test_set_final")
+    return t.select("record_id", F.coalesce(T.squeezed_contains("eval_script", "orig_func") & (F.col("orig_func") != ""), F.lit(False)).alias("same"))
+
+
 @query()
 def tree_match(s, d):
-    """Whether the script still holds the original function, and the script's Python tokens."""
+    """Whether the script still holds the original function, by text or by tree, and the script's Python tokens."""
     t = spread(table(s, d, "checked_test_set_final"))
-    return t.select("record_id", per_row(same_behaviour_tree, "boolean", "eval_script", "orig_func").alias("same"), per_row(lambda x: token_count(x) if x else 0, "int", "eval_script").alias("n_tokens"))
+    by_text = F.coalesce(T.squeezed_contains("eval_script", "orig_func") & (F.col("orig_func") != ""), F.lit(False))
+    # only what the text does not settle is parsed
+    t = t.select("record_id", by_text.alias("by_text"), "eval_script", F.when(~by_text, F.col("orig_func")).alias("rest"))
+    return t.select("record_id", (F.col("by_text") | per_row(same_behaviour_tree, "boolean", "eval_script", "rest")).alias("same"), per_row(lambda x: token_count(x) if x else 0, "int", "eval_script").alias("n_tokens"))
 
 
 @query()
@@ -457,11 +494,15 @@ def script_compiles(s, d):
     return executed(t, "eval_script").select("record_id", F.col("exec.status").alias("status"))
 
 
-@query()
+@query("""WITH p AS (SELECT md5(instruction) AS key, min(instruction) AS prompt FROM generations WHERE instruction IS NOT NULL GROUP BY 1),
+c AS (SELECT md5(instruction) AS key, arg_min(generations[1], idx) AS answer FROM generations WHERE instruction IS NOT NULL AND len(generations) > 0 AND generations[1] IS NOT NULL GROUP BY 1)
+SELECT p.key, md5(coalesce(c.answer, md5('0|' || p.prompt))) AS answer_md5, false AS failed FROM p LEFT JOIN c ON p.key = c.key""")
 def cached_model_calls(s, d):
-    p = table(s, d, "generations").where("instruction is not null").select(F.md5("instruction").alias("key"), F.col("instruction").alias("prompt")).dropDuplicates(["key"])
-    cache = table(s, d, "generations").where("instruction is not null and size(generations) > 0").groupBy(F.md5("instruction").alias("key")).agg(F.min("instruction").alias("prompt"), F.min("generations").alias("answers")).withColumn("error", F.lit(None).cast("string"))
-    return cached_calls(p, cache)
+    """One answer for each different prompt: from the cache, else from the model's stand-in."""
+    g = table(s, d, "generations").where("instruction is not null").withColumn("key", F.md5("instruction"))
+    p = g.select("key", F.col("instruction").alias("prompt")).dropDuplicates(["key"])
+    cache = g.where("size(generations) > 0 and generations[0] is not null").groupBy("key").agg(F.min("instruction").alias("prompt"), F.min_by("generations", "idx").alias("answers")).withColumn("error", F.lit(None).cast("string"))
+    return cached_calls(p, cache).select("key", F.md5(F.get("answers", F.lit(0))).alias("answer_md5"), F.col("error").isNotNull().alias("failed"))
 
 
 def _context_files(s, d):
@@ -486,14 +527,35 @@ def built_call_graph(s, d):
 
 @query()
 def evaluation_scripts(s, d):
-    """Scripts with the generated answer in place of the function."""
+    """Scripts of all records of a base with each generated answer in place of the function."""
     g = table(s, d, "generations").select(base_idx("idx").alias("base"), F.posexplode("generations").alias("pos", "answer"))
-    r = table(s, d, "checked_test_set_final").withColumn("base", base_idx("idx")).groupBy("base").agg(F.min_by(F.struct("eval_script", "func_name"), "record_id").alias("r"))
-    j = g.join(r, "base").select("base", "pos", "answer", "r.*")
-    return j.select("base", "pos", per_row(codetext.evaluation_script, "string", "eval_script", "answer", "func_name").alias("script"), per_row(codetext.target_body, "string", "answer", T.function_part("func_name")).alias("target"))
+    r = table(s, d, "checked_test_set_final").select("record_id", base_idx("idx").alias("base"), "eval_script", "func_name")
+    j = g.join(r, "base")
+    return j.select("record_id", "base", "pos", per_row(codetext.evaluation_script, "string", "eval_script", "answer", "func_name").alias("script"), per_row(codetext.target_body, "string", "answer", T.function_part("func_name")).alias("target"))
+
+
+def _candidate_pairs(s, d):
+    """Every later candidate beside the first one of its row."""
+    g = table(s, d, "generations").where("size(generations) >= 2").select("idx", F.get("generations", F.lit(0)).alias("first"), F.posexplode("generations").alias("pos", "raw")).where("pos > 0 and raw is not null and first is not null")
+    return g.select("idx", "pos", T.white_tokens("raw").alias("a"), T.white_tokens("first").alias("b"))
+
+
+_WORDS = r"list_filter(string_split_regex({c}, '\s+'), lambda w: w <> '')"
+_PAIRS = f"""WITH g AS (SELECT idx, (i - 1)::INT AS pos, {_WORDS.format(c='generations[i]')} AS a, {_WORDS.format(c='generations[1]')} AS b FROM generations, unnest(range(2, len(generations) + 1)) AS u(i) WHERE generations[i] IS NOT NULL AND generations[1] IS NOT NULL)"""
+
+
+@query(_PAIRS + """,
+x AS (SELECT idx, pos, n, a[i:i + n - 1] AS gram, count(*) AS k FROM g, unnest([1, 2]) AS v(n), unnest(range(1, len(a) - n + 2)) AS u(i) GROUP BY ALL),
+y AS (SELECT idx, pos, n, b[i:i + n - 1] AS gram, count(*) AS k FROM g, unnest([1, 2]) AS v(n), unnest(range(1, len(b) - n + 2)) AS u(i) GROUP BY ALL),
+m AS (SELECT x.idx, x.pos, x.n, sum(least(x.k, y.k)) AS hit FROM x JOIN y USING (idx, pos, n, gram) GROUP BY ALL),
+f AS (SELECT g.idx, g.pos, v.n, CASE WHEN len(a) < v.n OR len(b) < v.n THEN 0 ELSE 2 * coalesce(hit, 0)::DOUBLE / (len(a) + len(b) - 2 * (v.n - 1)) END AS f FROM g CROSS JOIN (VALUES (1), (2)) AS v(n) LEFT JOIN m ON m.idx = g.idx AND m.pos = g.pos AND m.n = v.n)
+SELECT idx, pos, round(max(CASE WHEN n = 1 THEN f END), 9) AS rouge_1, round(max(CASE WHEN n = 2 THEN f END), 9) AS rouge_2 FROM f GROUP BY idx, pos""")
+def rouge_n(s, d):
+    g = _candidate_pairs(s, d)
+    return g.select("idx", "pos", F.round(metrics.rouge_n(F.col("a"), F.col("b"), 1), 9).alias("rouge_1"), F.round(metrics.rouge_n(F.col("a"), F.col("b"), 2), 9).alias("rouge_2"))
 
 
 @query()
 def rouge_l(s, d):
-    g = table(s, d, "generations").where("size(generations) >= 2").select("idx", T.white_tokens(F.get("generations", F.lit(0))).alias("a"), T.white_tokens(F.get("generations", F.lit(1))).alias("b"))
-    return g.select("idx", F.round(evaluation.lcs_rouge(F.col("a"), F.col("b")), 9).alias("rouge_l"))
+    g = _candidate_pairs(s, d)
+    return g.select("idx", "pos", F.round(metrics.rouge_l(F.col("a"), F.col("b")), 9).alias("rouge_l"))

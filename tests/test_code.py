@@ -70,8 +70,6 @@ def test_evaluation(spark):
     runs = spark.createDataFrame([(1, True, 2, 0, 0, 80.0), (1, False, 0, 2, 0, None), (2, None, None, None, None, None)], "id int, valid boolean, passed int, failed int, errored int, branch_coverage double")
     r = evaluation.test_summary(runs).first()
     assert (r.functions, r.runnable, r.valid, r.valid_percent, r.all_failed) == (2, 1, 1, 50.0, 1) and r.pass_ratio == 0.5
-    arr = lambda t: F.split(F.lit(t), " ")
-    assert spark.range(1).select(evaluation.lcs_rouge(arr("a b c d"), arr("a x c d"))).first()[0] == 0.75
     doc = F.array(F.struct(F.lit("t").alias("title"), F.lit("x\ny").alias("text")))
     out = spark.range(1).select(evaluation.with_context(F.lit("P"), doc, 1)).first()[0]
     assert out.endswith("\nP") and "# x\n# y" in out

@@ -68,9 +68,28 @@ def test_similarity_and_bleu(spark):
     assert one(spark, metrics.edit_similarity(F.lit(""), F.lit(""))) == 1.0
     assert one(spark, metrics.edit_similarity(F.lit("kitten"), F.lit("sitting"))) == pytest.approx(1 - 3 / 7)
     same = F.split(F.lit("a b c d e"), " ")
-    assert one(spark, metrics.smoothed_bleu(same, same)) == pytest.approx(1.0)
-    assert one(spark, metrics.smoothed_bleu(same, F.split(F.lit("x y z"), " "))) == 0.0
-    assert one(spark, metrics.clipped_matches(F.split(F.lit("a a a b"), " "), F.split(F.lit("a a c"), " "), 1)) == 2
+    words = lambda t: F.split(F.lit(t), " ")
+    assert one(spark, metrics.smoothed_bleu(same, F.array(words("x"), same))) == pytest.approx(1.0)
+    assert one(spark, metrics.smoothed_bleu(same, F.array(words("x y z")))) == 0.0
+    # of two references the one with more of an n-gram counts, and the shorter length
+    assert one(spark, metrics.smoothed_bleu(words("a a a b"), F.array(words("a a c"), words("b x y z")), 1)) == pytest.approx(3 / 4)
+    assert one(spark, metrics.smoothed_bleu(F.lit(None).cast("array<string>"), F.array(same))) is None
+    assert one(spark, metrics.normalise_for_bleu(F.lit("It&apos;s 5. A-1, x-\ny <skipped>3-4 &lt;b&gt; end 5."))) == ["it", "&", "apos", ";", "s", "5", ".", "a-1", ",", "xy", "3", "-", "4", "<", "b", ">", "end", "5", "."]
+    assert one(spark, metrics.rouge_l(words("a b c d"), words("a x c d"))) == 0.75 and one(spark, metrics.rouge_l(F.array().cast("array<string>"), same)) == 0.0
+    assert one(spark, metrics.rouge_n(words("a b a"), words("a b c"), 2)) == 0.5
+
+
+def test_longest_common_subsequence_matches_the_table():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 90))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        assert metrics.common_length(a, b) == row[-1]
 
 
 @pytest.mark.parametrize("out, want, ok", [("1 2\n", "1 2", True), (" a \n b", "a\nb", True), ("1.0000000001", "1", True), ("b a", "a b", True), ("1", "2", False), ("a\n\nb", "a\nb", True)])
@@ -206,7 +225,21 @@ def test_filters(spark):
     assert docs.select(F.size(filters.decontaminate_docs(F.col("docs"), F.col("ref"), F.col("path")))).first()[0] == 1
     texts = spark.createDataFrame([(1, "say the quick brown fox jumps over it"), (2, "quick fox"), (3, None), (4, "")], "id int, text string")
     items = spark.createDataFrame([("quick brown fox jumps",), ("",), (None,)], "item string")
-    assert values(filters.contaminated(texts, items), "id") == [1]
+    ws = Workspace(spark, "t")
+    assert values(filters.contaminated(texts, items, ws), "id") == [1]
+    texts = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "xbeta gammas"), (3, "====="), (4, "beta, gamma"), (5, "alpha beta gamma delta epsilo")], "id int, text string")
+    found = lambda *xs: sorted(values(filters.contaminated(texts, spark.createDataFrame([(x,) for x in xs], "item string"), ws), "id"))
+    assert found("gamma") == [1, 2, 4, 5] and found("beta gamma") == [1, 2, 5] and found("==") == [3] and found("  ") == []
+    assert found("alpha beta gamma delta epsilon") == [1] and found("pha beta gamma delta eps", "nothing at all here") == [1, 5]
+    assert found("Gamma") == [] and filters.contaminated(texts.limit(0), texts.select(F.col("text").alias("item")), ws).count() == 0
+
+
+def test_function_words_and_wrappers():
+    row = lambda code: pyast.function_rows(code)[0]
+    method = 'class A:\n    def f(self):\n        """d"""\n        {}\n        {}\n'
+    assert row(method.format("self.a()", "return x"))["is_wrapper"] and not row(method.format("y = 1", "return self.f(y)"))["is_wrapper"]
+    assert row("def f():\n    x.attr = 'Two Words'\n    return plt")["body_tokens"] == ["plt", "two words", "x"]
+    assert {"scheduler", "pebble"} <= set(filters.BODY_WORDS) and len(filters.BODY_WORDS) == 31
 
 
 def test_sources_and_sinks(spark, tmp_path):
