@@ -48,6 +48,8 @@ FANOUT = 4
 #: One more than FANOUT, so that the last batch meets a compacted run.
 BATCHES = 5
 CROWD = 32
+#: Most keys that are broadcast (about 8 MB).
+MOST_KEYS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 
@@ -199,9 +201,9 @@ class SpanIndex:
         self.made += 1
         now = self.made
         crowd = self.crowded()
-        known = crowd.limit(1_000_001).count()
+        known = crowd.limit(MOST_KEYS + 1).count()
         if known:
-            crowd = F.broadcast(crowd) if known <= 1_000_000 else crowd
+            crowd = F.broadcast(crowd) if known <= MOST_KEYS else crowd
             self.append("crowd_rows", rows.select("h", "id").join(crowd, "h", "left_semi"))
             rows = rows.join(crowd, "h", "left_anti")
         self._write(rows.withColumn("batch", F.lit(now)), now, now)
@@ -213,7 +215,7 @@ class SpanIndex:
         met = ws.save(met, f"met{now}") if met is not None else None
         repeated = own.where("k > 1").select("h")
         keys = ws.save(repeated if met is None else repeated.unionByName(met.select("h")).distinct(), f"keys{now}")
-        small = keys.limit(1_000_001).count() <= 1_000_000
+        small = keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS
         rows = new.join(F.broadcast(keys) if small else keys.repartition(self.buckets, "h"), "h", "left_semi").select("h", "id", "batch")
         rows = rows if met is None else rows.unionByName(met)
         rows = rows.withColumn("n", F.count("*").over(W.partitionBy("h")))
@@ -391,7 +393,7 @@ def shared_spans(
     # written, so that a text with a third of all records as copies is split
     members = ws.save(known.select(*key, "id").join(ws.save(firsts, "firsts"), key), "members")
     copies = members.where("id != rep").select("id")
-    few = copies.limit(1_000_001).count() <= 1_000_000
+    few = copies.limit(MOST_KEYS + 1).count() <= MOST_KEYS
     rows = known.join(F.broadcast(copies) if few else copies, "id", "left_anti").select("batch", "id", F.explode("hashes").alias("h"))
     size = known.agg(F.sum(F.size("hashes"))).first()[0] or 0
     # buckets of about 4 million rows
