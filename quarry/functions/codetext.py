@@ -5,6 +5,7 @@ Indentation is counted after tabs are expanded.  Null in gives null out.
 
 from __future__ import annotations
 
+import ast
 import re
 
 from quarry.functions.pyast import definitions, function_lines, function_text, replace_function, safe_parse
@@ -104,7 +105,7 @@ def with_pragmas(script: str | None, first: int, last: int) -> str | None:
     """Marks every code line outside the 0-based range as not to be covered."""
     if script is None:
         return None
-    rows = script.splitlines()
+    rows = script.split("\n")
     return "\n".join(r if first <= i <= last or not r.strip() else r + "  # pragma: no cover" for i, r in enumerate(rows))
 
 
@@ -113,7 +114,7 @@ def with_unevaluated(code: str | None, lines: list[int] | None, note: str = "# U
     if code is None:
         return None
     marks, out = set(lines or ()), []
-    for i, row in enumerate(code.splitlines(), 1):
+    for i, row in enumerate(code.split("\n"), 1):
         if i in marks:
             out.append(row[: len(row) - len(row.lstrip())] + note)
         out.append(row)
@@ -175,3 +176,81 @@ def spec_text(answer: str | None) -> str | None:
     rows = (answer or "").splitlines()
     marks = [i for i, r in enumerate(rows) if "```" in r]
     return "\n".join(rows[marks[-2] + 1 : marks[-1]]) if len(marks) >= 2 else None
+
+
+def sft_example(context_blocks: list[str] | None, path: str | None, name: str | None, instruction: str | None = None, docstring: str = "keep", infile: bool = False) -> tuple[str, str] | None:
+    """``(input, output)`` of a fine-tuning example; null where the function or its file is not found.
+
+    The input is the target file up to and with the function's head and docstring, behind
+    the other blocks as commented context; what follows the function is left out.  The
+    output is the function's body and a last line with its indent.  ``docstring`` is
+    ``keep``, ``drop`` or ``instruction`` (then ``instruction`` stands in its place);
+    ``infile`` leaves the other blocks away.
+    """
+    from quarry.functions.pyedit import body_lines
+
+    if not context_blocks or not path or not name:
+        return None
+    head_of = lambda b: next((r for r in b.splitlines() if r.strip().startswith("#")), "")
+    own = next((b for b in context_blocks if path in head_of(b)), None)
+    if own is None:
+        return None
+    at = function_lines(own, name)
+    if at is None:
+        return None
+    rows = own.splitlines()
+    fn = "\n".join(rows[at[0] : at[1] + 1])
+    body = body_lines(fn, name.rsplit(".", 1)[-1])
+    if body is None:
+        return None
+    code = fn.split("\n")
+    depth = re.match(r"[ \t]*", next(r for r in code if re.match(r"\s*(?:async\s+)?def\s", r))).group()
+    tree = safe_parse(reindented(fn, 0))
+    has_doc = tree is not None and isinstance(getattr(tree.body[0], "body", [None])[0], ast.Expr) and ast.get_docstring(tree.body[0]) is not None
+    start = tree.body[0].body[0].lineno - 1 if has_doc else body[0]
+    kept = code[: body[0]] if docstring == "keep" else code[:start]
+    if docstring == "instruction" and instruction:
+        inner = re.match(r"[ \t]*", code[body[0]]).group()
+        kept = [*kept, inner + '"""', *(inner + r.strip() for r in instruction.split("\n")), inner + '"""']
+    text = "\n".join([*rows[: at[0]], *kept]) + "\n"
+    others = [b for b in context_blocks if b != own]
+    if others and not infile:
+        parts = []
+        for b in others:
+            title, _, rest = b.partition("\n")
+            words = title.split(" ")
+            if len(words) < 2:
+                return None
+            parts.append(f"From the file\n{words[1]}\n{rest}")
+        text = "\n".join("# " + r for p in parts for r in p.split("\n")) + "\n\n" + text
+    return text, "\n".join(code[body[0] : body[1] + 1]) + "\n" + depth + "\n"
+
+
+def renamed_in_script(script: str | None, old: str, new: str) -> str | None:
+    """The definition and all calls of ``old`` in a script get the name ``new``; other words that hold it are left alone."""
+    return None if script is None else re.sub(rf"(?<![\w.]){re.escape(old)}(?=\s*\()", new, script)
+
+
+def inserted_after(script: str | None, name: str, extra: str) -> str | None:
+    """``extra`` behind a function, at its depth and set apart by a blank line; null if the function is not there once."""
+    at = function_lines(script, name)
+    if at is None:
+        return None
+    rows = script.splitlines()
+    return "\n".join([*rows[: at[1] + 1], "", *reindented(extra, indent_of(rows[at[0]])).splitlines(), *rows[at[1] + 1 :]])
+
+
+def with_copy(script: str | None, name: str) -> str | None:
+    """The script with a copy of the function beside it as ``<name>_new_implementation``: what a correct answer would be."""
+    fn = function_text(script, name)
+    last = name.rsplit(".", 1)[-1]
+    return None if fn is None else inserted_after(script, name, renamed(fn, last, f"{last}_new_implementation"))
+
+
+def section_after(answer: str | None, marker: str) -> str | None:
+    """All fenced code behind the last marker (of the whole answer if it is missing), joined by blank lines; else the text itself."""
+    if answer is None:
+        return None
+    tail = answer.rpartition(marker)[2]
+    found = _FENCE.findall(tail)
+    return "\n\n".join(f.strip() for f in found) if found else tail.strip()

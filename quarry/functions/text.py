@@ -1,7 +1,8 @@
 """Text functions as Catalyst expressions; null in gives null out unless said otherwise.
 
 None of these uses Python at run time, so filters on their results stay visible to the
-optimizer and the expressions stay inside whole-stage code.
+optimizer.  Plain string functions are compiled into whole-stage code; those over arrays
+(filter, transform, aggregate) are interpreted row by row in the JVM.
 """
 
 from __future__ import annotations
@@ -78,13 +79,14 @@ def doc_title(col: Column | str) -> Column:
 
 
 def comment_lines(col: Column | str) -> Column:
-    return F.regexp_replace(_c(col), "(?m)^", "# ")
+    """``# `` before every line; lines end with a line feed."""
+    return F.concat(F.lit("# "), F.replace(_c(col), F.lit("\n"), F.lit("\n# ")))
 
 
-def wrap_context(docs: Column, header: str = "Here are some relevant code fragments from other files of the repo:") -> Column:
+def wrap_context(docs: Column, header: str = "Code of the same repository that may help:", lead: str = "From the file") -> Column:
     """``array<struct<title, text>>`` as one commented block with titles and separators."""
     rule = "-" * 50
-    blocks = F.transform(docs, lambda d: F.concat_ws("\n", F.lit("the below code fragment can be found in:"), d["title"], F.lit(rule), d["text"], F.lit(rule)))
+    blocks = F.transform(docs, lambda d: F.concat_ws("\n", F.lit(lead), d["title"], F.lit(rule), d["text"], F.lit(rule)))
     return comment_lines(F.concat_ws("\n", F.lit(header), F.lit(rule), F.array_join(blocks, "\n")))
 
 
@@ -226,6 +228,11 @@ def function_part(name: Column | str) -> Column:
     return F.substring_index(_c(name), ".", -1)
 
 
+def last_parts(name: Column | str, n: int) -> Column:
+    """The last ``n`` dotted parts, all of them if there are fewer."""
+    return F.substring_index(_c(name), ".", -n)
+
+
 def module_path(module: Column | str) -> Column:
     return F.concat(F.replace(_c(module), F.lit("."), F.lit("/")), F.lit(".py"))
 

@@ -69,3 +69,12 @@ def fallback_join(df: DataFrame, tables: list[tuple[DataFrame, Column, str]], na
     for i, (table, key, _) in enumerate(tables):
         out = out.withColumn(f"_k{i}", key).join(table.select(F.col("key").alias(f"_k{i}"), F.col("value").alias(f"_v{i}")), f"_k{i}", "left")
     return out.withColumn(name, F.coalesce(*[F.col(f"_v{i}") for i in range(len(tables))])).select(*df.columns, name)
+
+
+def first_by_text(df: DataFrame, text: str, table: DataFrame, key: str, value: str, order: str, name: str) -> DataFrame:
+    """Left look-up by equal text: the ``value`` of the first row of ``table``, by ``order``, whose ``key`` is the text.
+
+    Joined on a 256-bit hash of the text; null texts find nothing.
+    """
+    first = table.where(F.col(key).isNotNull()).groupBy(F.sha2(key, 256).alias("_h")).agg(F.min_by(value, order).alias(name))
+    return df.withColumn("_h", F.sha2(text, 256)).join(first, "_h", "left").drop("_h")

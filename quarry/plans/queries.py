@@ -244,9 +244,10 @@ def covered_repos(s, d):
     return filters.covered_repos(table(s, d, "repos").withColumn("repo", canonical_repo("repo_id")), used, "repo").select("repo_id", "n_stars")
 
 
-@query(f"SELECT repo_id FROM {_RP} WHERE repo NOT IN (SELECT repo FROM {_USED} WHERE repo IS NOT NULL)")
+@query(f"SELECT repo_id FROM {_RP} WHERE repo NOT IN (SELECT lower(repo_id) FROM call_graphs WHERE repo_id IS NOT NULL)")
 def unused_repos(s, d):
-    used = table(s, d, "checked_test_set_final").select(canonical_repo("repo_name").alias("repo"))
+    """Repositories that no call graph uses."""
+    used = table(s, d, "call_graphs").select(canonical_repo("repo_id").alias("repo"))
     return filters.unused_repos(table(s, d, "repos").withColumn("repo", canonical_repo("repo_id")), used, "repo").select("repo_id")
 
 
@@ -505,7 +506,7 @@ def cached_model_calls(s, d):
     return cached_calls(p, cache).select("key", F.md5(F.get("answers", F.lit(0))).alias("answer_md5"), F.col("error").isNotNull().alias("failed"))
 
 
-def _context_files(s, d):
+def context_files(s, d):
     """The Python blocks of each context as the files of a small repository."""
     t = block_rows(spread(table(s, d, "checked_test_set_final")), "orig_context", "record_id", "func_name")
     path = F.regexp_replace("path", r"(?i)\.py$", ".py")
@@ -515,14 +516,14 @@ def _context_files(s, d):
 @query()
 def sliced_contexts(s, d):
     """Dependency slices of the delivered functions over the files of their own context."""
-    files = _context_files(s, d)
+    files = context_files(s, d)
     last = files.groupBy("repo_id").agg(F.max_by("module", "pos").alias("module"), F.first("func_name").alias("name"))
     return slicing.contexts(files.select("repo_id", "module", "code"), last).select("repo_id", "module", "name", F.length("context").alias("n_chars"))
 
 
 @query()
 def built_call_graph(s, d):
-    return slicing.call_graph(_context_files(s, d).select("repo_id", "module", "code"))
+    return slicing.call_graph(context_files(s, d).select("repo_id", "module", "code"))
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,16 @@ def export_json(df: DataFrame, path: str, max_records: int | None = None) -> Non
     (w.option("maxRecordsPerFile", max_records) if max_records else w).json(path)
 
 
+def export_json_array(df: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
+    """Files that hold one JSON array each, of at most ``rows_per_file`` rows, in no order; no rows give no file."""
+    from pyspark.sql import Window as W
+
+    numbered = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).withColumn("_part", F.spark_partition_id())
+    numbered = numbered.withColumn("_file", F.floor((F.row_number().over(W.partitionBy("_part").orderBy("j")) - 1) / rows_per_file))
+    arrays = numbered.groupBy("_part", "_file").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -54,6 +64,20 @@ def write_code_dump(df: DataFrame, path: str) -> None:
     df.select(F.format_string("[%d]\n%s\n", F.col("pos"), F.col("code")).alias("value")).write.mode("overwrite").text(path)
 
 
+def distinct_in_order(commands: Column) -> Column:
+    """The elements of an array without repetitions, in the order they first stand."""
+    return F.array_distinct(commands)
+
+
+def swebench_rows(df: DataFrame, records: str, file: Column) -> DataFrame:
+    """Prediction rows for an evaluation harness: the first of a list of records, with the model's name from the file name.
+
+    ``records`` is ``array<struct<...>>``; an empty list gives no row.
+    """
+    name = F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.json.*$", "")
+    return df.where(F.size(records) > 0).select(F.col(records)[0].alias("_r"), name.alias("model_name_or_path")).select("_r.*", "model_name_or_path")
+
+
 def results_with_config(spark: SparkSession, metrics: dict[str, float], config: dict[str, str]) -> DataFrame:
     """One row with the metrics and the configuration as maps."""
     return spark.createDataFrame([({k: float(v) for k, v in metrics.items()}, {k: str(v) for k, v in config.items()})], "metrics map<string,double>, config map<string,string>")

@@ -79,7 +79,7 @@ def test_repo_search(spark, tmp_path):
     rows = [{"full_name": f"o/r{i}", "language": "Python", "license": "MIT" if i % 2 else None, "created": f"2024-0{1 + i % 9}-01", "size_kb": i * 100} for i in range(9)]
     (tmp_path / "f.jsonl").write_text("\n".join(map(json.dumps, rows)))
     spark.dataSource.register(RepoSearch)
-    df = spark.read.format("repo_search").option("fixture", f"{tmp_path}/f.jsonl").option("license", "mit").option("max_kb", "600").option("page_size", "4").load()
+    df = spark.read.format("repo_search").option("fixture", f"{tmp_path}/f.jsonl").option("license", "mit").option("max_kb", "600").option("block_bytes", "150").load()
     assert sorted(r.full_name for r in df.collect()) == ["o/r1", "o/r3", "o/r5"]
 
 
