@@ -6,6 +6,7 @@ Indentation is counted after tabs are expanded.  Null in gives null out.
 from __future__ import annotations
 
 import ast
+import os
 import re
 
 from quarry.functions.pyast import definitions, function_lines, function_text, replace_function, safe_parse
@@ -25,6 +26,14 @@ def reindented(code: str, to: int) -> str:
     return "\n".join(" " * to + r[least:] if r.strip() else "" for r in rows)
 
 
+def moved(code: str, lead: str) -> str:
+    """The block with the blanks that all its lines begin with exchanged for ``lead``; tabs stay tabs."""
+    rows = code.splitlines()
+    heads = [re.match(r"[ \t]*", r).group() for r in rows if r.strip()]
+    shared = len(os.path.commonprefix(heads))
+    return "\n".join(lead + r[shared:] if r.strip() else r for r in rows)
+
+
 def body_until_dedent(code: str | None, name: str) -> str | None:
     """The body of a generated function: everything after its header until the text returns to the header's depth.
 
@@ -93,12 +102,9 @@ def evaluation_script(script: str | None, answer: str | None, name: str, beside:
     at = function_lines(script, name)
     if fresh is None or at is None:
         return None
-    rows = script.splitlines()
-    column = indent_of(rows[at[0]])
     if not beside:
-        return replace_function(script, name, reindented(fresh, column))
-    extra = renamed(reindented(fresh, column), last, f"{last}_new_implementation")
-    return "\n".join([*rows[: at[1] + 1], "", *extra.splitlines(), *rows[at[1] + 1 :]])
+        return replace_function(script, name, moved(fresh, ""))
+    return inserted_after(script, name, renamed(moved(fresh, ""), last, f"{last}_new_implementation"))
 
 
 def with_pragmas(script: str | None, first: int, last: int) -> str | None:
@@ -237,7 +243,8 @@ def inserted_after(script: str | None, name: str, extra: str) -> str | None:
     if at is None:
         return None
     rows = script.splitlines()
-    return "\n".join([*rows[: at[1] + 1], "", *reindented(extra, indent_of(rows[at[0]])).splitlines(), *rows[at[1] + 1 :]])
+    lead = re.match(r"[ \t]*", rows[at[0]]).group()
+    return "\n".join([*rows[: at[1] + 1], "", *moved(extra, lead).splitlines(), *rows[at[1] + 1 :]])
 
 
 def with_copy(script: str | None, name: str) -> str | None:

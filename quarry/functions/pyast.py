@@ -154,7 +154,7 @@ def replace_function(code: str | None, name: str, new: str) -> str | None:
     lines = code.splitlines()
     have = re.match(r"\s*", new.splitlines()[0]).group() if new else ""
     want = re.match(r"\s*", lines[at[0]]).group()
-    fresh = [want + x[len(have) :] if x.startswith(have) and x.strip() else x.strip() and x for x in new.splitlines()]
+    fresh = [want + x[len(have) :] if x.startswith(have) and x.strip() else x for x in new.splitlines()]
     text = "\n".join([*lines[: at[0]], *fresh, *lines[at[1] + 1 :]])
     return re.sub(r"\n{4,}", "\n\n\n", text)
 

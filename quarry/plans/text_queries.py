@@ -444,7 +444,7 @@ def _source_checks(blocks, path, name) -> list[tuple[str, bool]]:
         ("remove: the function is gone", pyast.safe_parse(gone) is None or pyast.function_lines(gone, name) is None),
         ("copy: both versions are there", copy is not None and f"def {last}_new_implementation" in copy and pyast.function_text(copy, name) is not None),
         ("rename: only the definition", f"def {last}_2" in codetext.renamed(text, last, f"{last}_2")),
-        ("example: input and output make up the function", sft is None or sft[1].strip("\n ") in text),
+        ("example: input and output make up the function", sft is None or sft[1].strip() in text),
         ("features: a row for the function", any(r["name"] == last and r["first_line"] == at[0] + 1 for r in rows)),
         ("features: branches add up", sum(r["n_branches"] for r in rows) <= pyast.branches(own)),
         ("names: no read name is a builtin", all(x not in ("len", "print", "range") for x in pyast.free_names(text))),
