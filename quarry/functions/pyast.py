@@ -188,17 +188,36 @@ def _dedent(code: str) -> str:
 
 
 def free_names(code: str | None) -> list[str]:
-    """Names read in a statement that it does not bind, without builtins and dunders."""
+    """Names read in a statement that it does not bind, without builtins and dunders.
+
+    Scopes are told apart: a name that is local to a function inside may still be read
+    outside it.  Names in annotations count, also in those written as text, and so do
+    names that are changed in place.
+    """
     import builtins
+    import symtable
 
     tree = safe_parse(code)
     if tree is None:
         return []
-    bound = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and not isinstance(n.ctx, ast.Load)}
-    bound |= {n.name for n in ast.walk(tree) if isinstance(n, (*_DEFS, ast.ClassDef))} | {a.arg for n in ast.walk(tree) if isinstance(n, ast.arguments) for a in [*n.args, *n.posonlyargs, *n.kwonlyargs, *filter(None, (n.vararg, n.kwarg))]}
-    bound |= {(a.asname or a.name).split(".")[0] for n in ast.walk(tree) if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names} | {n.name for n in ast.walk(tree) if isinstance(n, ast.ExceptHandler) and n.name}
-    used = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)}
-    return sorted(x for x in used - bound if not hasattr(builtins, x) and not (x.startswith("__") and x.endswith("__")))
+    try:
+        top = symtable.symtable(ast.unparse(tree), "<statement>", "exec")
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    bound = {x.get_name() for x in top.get_symbols() if x.is_assigned() or x.is_imported() or x.is_namespace()}
+    used = {n.target.id for n in tree.body if isinstance(n, ast.AugAssign) and isinstance(n.target, ast.Name)}
+    used |= {x.get_name() for x in top.get_symbols() if x.is_referenced()} - bound
+    tables = list(top.get_children())
+    while tables:
+        t = tables.pop()
+        used |= {x.get_name() for x in t.get_symbols() if x.is_global() and x.is_referenced()} - bound
+        tables += t.get_children()
+    for n in ast.walk(tree):
+        for note in (getattr(n, "annotation", None), getattr(n, "returns", None)):
+            if isinstance(note, ast.Constant) and isinstance(note.value, str):
+                inner = safe_parse(note.value)
+                used |= {x.id for x in ast.walk(inner) if isinstance(x, ast.Name)} - bound if inner is not None else set()
+    return sorted(x for x in used if not hasattr(builtins, x) and not (x.startswith("__") and x.endswith("__")) and not x.startswith("."))
 
 
 def _holds_function(name: str, script: str | None, before: str | None, original: str | None, margin: int, whole: bool) -> str | None:

@@ -50,32 +50,103 @@ def matching(patterns: list[str]) -> list[str]:
     return sorted(n for n in TASKS if any(fnmatch(n, p) for p in patterns))
 
 
-def _lines_task(task_name: str, prompt_col: str, reference_col: str, stop_words: list[str]) -> type[Task]:
-    class Lines(Task):
-        name = task_name
-        stops = stop_words
+class LinesTask(Task):
+    """A benchmark kept as JSON lines; ``docs`` is an optional column of retrieved documents."""
 
-        def rows(self, spark, path):
-            from quarry.sources.readers import json_lines
+    prompt_col, reference_col = "prompt", "test"
 
-            return json_lines(spark, path)
+    def rows(self, spark, path):
+        from quarry.sources.readers import json_lines
 
-        def prompt(self):
-            return F.col(prompt_col)
+        return json_lines(spark, path)
 
-        def reference(self):
-            return F.col(reference_col)
+    def prompt(self):
+        return F.col(self.prompt_col)
 
-    return Lines
+    def reference(self):
+        return F.col(self.reference_col)
 
 
-#: Fields and stop words of public benchmarks.
-for _n, _p, _r, _s in [
-    ("humaneval", "prompt", "test", ["\nclass", "\ndef", "\n#", "\n@", "\nprint", "\nif"]), ("mbpp", "text", "test_list", ["\nclass", "\nassert", '\n"""', "\nprint", "\nif"]),
-    ("odex", "prompt", "test", ["\nclass", "\nprint", "\n#"]), ("ds1000", "prompt", "reference_code", ["</code>", "# SOLUTION END"]), ("live_code_bench", "question_content", "public_test_cases", []),
-    ("repoeval", "prompt", "reference", []), ("swebench", "text", "patch", []),
-]:
-    register(_lines_task(_n, _p, _r, _s))
+#: Stop words of public benchmarks.
+_STOPS = {
+    "humaneval": ["\nclass", "\ndef", "\n#", "\n@", "\nprint", "\nif"],
+    "mbpp": ["\nclass", "\nassert", '\n"""', "\nprint", "\nif"],
+    "odex": ["\nclass", "\nprint", "\n#"],
+    "ds1000": ["</code>", "# SOLUTION END"],
+}
+
+
+@register
+class HumanEval(LinesTask):
+    """Completion of a function; the test calls the entry point."""
+
+    name, stops = "humaneval", _STOPS["humaneval"]
+
+    def reference(self):
+        return F.concat(F.col("test"), F.lit("\ncheck("), F.col("entry_point"), F.lit(")"))
+
+
+@register
+class Mbpp(LinesTask):
+    """A task in words with its first test as the example; all tests are the reference."""
+
+    name, stops = "mbpp", _STOPS["mbpp"]
+
+    def prompt(self):
+        return F.concat(F.lit('"""\n'), F.col("text"), F.lit("\n"), F.coalesce(F.get("test_list", F.lit(0)), F.lit("")), F.lit('\n"""\n'))
+
+    def reference(self):
+        return F.array_join("test_list", "\n")
+
+
+@register
+class Odex(LinesTask):
+    """Completion of a function whose intent stands in its docstring; the tests are joined behind their start."""
+
+    name, stops = "odex", _STOPS["odex"]
+
+    def reference(self):
+        return F.concat(F.coalesce("test_start", F.lit("")), F.array_join("test", ""), F.lit("\ncheck("), F.col("entry_point"), F.lit(")"))
+
+
+@register
+class Ds1000(LinesTask):
+    """Code behind a start mark; what follows the solution's end is cut."""
+
+    name, stops, reference_col = "ds1000", _STOPS["ds1000"], "reference_code"
+
+    def postprocess(self, answer):
+        tail = F.when(F.contains(answer, F.lit("BEGIN SOLUTION")), F.substring_index(answer, "BEGIN SOLUTION", -1)).otherwise(answer)
+        return cut_at_stops(first_code_piece(tail), self.stops)
+
+
+@register
+class LiveCodeBench(LinesTask):
+    """A question, with its starter code where there is one; programs without it read the standard input."""
+
+    name, reference_col = "live_code_bench", "public_test_cases"
+
+    def prompt(self):
+        starter = F.coalesce("starter_code", F.lit(""))
+        how = F.when(F.length(starter) > 0, F.concat(F.lit("Use this beginning:\n```python\n"), starter, F.lit("\n```\n"))).otherwise(F.lit("Read from standard input and write to standard output.\n"))
+        return F.concat(F.col("question_content"), F.lit("\n\n"), how)
+
+
+@register
+class RepoEval(LinesTask):
+    """Completion inside a file of a repository; as many lines count as the reference has."""
+
+    name, reference_col = "repoeval", "reference"
+
+
+@register
+class SweBench(LinesTask):
+    """An issue with the code around it."""
+
+    name, reference_col = "swebench", "patch"
+
+    def prompt(self):
+        return F.coalesce(F.col("text"), F.col("problem_statement"))
 
 
 def with_context(prompt: Column, docs: Column, k: int) -> Column:

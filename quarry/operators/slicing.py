@@ -23,18 +23,44 @@ def _bound(node: ast.stmt) -> list[str]:
     return sorted({n.id for n in ast.walk(node) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)})
 
 
-def _leaves(body: list[ast.stmt]) -> list[ast.stmt]:
-    """Top-level statements; compound ones are opened, imports of several names stay one."""
-    out: list[ast.stmt] = []
+def _is_main(node: ast.stmt) -> bool:
+    return isinstance(node, ast.If) and "__name__" in ast.unparse(node.test) and "__main__" in ast.unparse(node.test)
+
+
+def _leaves(body: list[ast.stmt], reads: tuple[str, ...] = (), binds: tuple[str, ...] = ()) -> list[tuple[ast.stmt, tuple[str, ...], tuple[str, ...]]]:
+    """Top-level statements with the names that the headers above them read and bind.
+
+    Compound statements are opened, except the main guard; an import of several names
+    becomes one statement for each.
+    """
+    out = []
     for node in body:
-        inner = [getattr(node, f, []) for f in ("body", "orelse", "finalbody")] if isinstance(node, (ast.If, ast.Try, ast.For, ast.While, ast.With)) else []
-        if inner:
-            for h in getattr(node, "handlers", []):
-                inner.append(h.body)
-            for part in inner:
-                out += _leaves(part)
-        else:
-            out.append(node)
+        if isinstance(node, (ast.Import, ast.ImportFrom)) and len(node.names) > 1:
+            for a in node.names:
+                one = ast.Import([a]) if isinstance(node, ast.Import) else ast.ImportFrom(node.module, [a], node.level)
+                out.append((one, reads, binds))
+            continue
+        parts: list[list[ast.stmt]] = []
+        heads: list[ast.expr] = []
+        named: list[ast.expr] = []
+        if isinstance(node, (ast.If, ast.While)) and not _is_main(node):
+            parts, heads = [node.body, node.orelse], [node.test]
+        elif isinstance(node, (ast.For, ast.AsyncFor)):
+            parts, heads, named = [node.body, node.orelse], [node.iter], [node.target]
+        elif isinstance(node, (ast.With, ast.AsyncWith)):
+            parts, heads, named = [node.body], [i.context_expr for i in node.items], [i.optional_vars for i in node.items if i.optional_vars]
+        elif isinstance(node, (ast.Try, ast.TryStar)):
+            parts, heads = [node.body, *(h.body for h in node.handlers), node.orelse, node.finalbody], [h.type for h in node.handlers if h.type]
+        elif isinstance(node, ast.Match):
+            parts, heads = [c.body for c in node.cases], [node.subject, *(c.guard for c in node.cases if c.guard)]
+        if not parts:
+            out.append((node, reads, binds))
+            continue
+        new = tuple(sorted({x for h in heads for x in free_names(ast.unparse(h))}))
+        given = {n.id for t in named for n in ast.walk(t) if isinstance(n, ast.Name)} | {h.name for h in getattr(node, "handlers", []) if h.name}
+        given |= {n.name for n in ast.walk(node) if isinstance(n, (ast.MatchAs, ast.MatchStar)) and n.name} if isinstance(node, ast.Match) else set()
+        for part in parts:
+            out += _leaves(part, (*reads, *new), (*binds, *sorted(given)))
     return out
 
 
@@ -44,15 +70,23 @@ class Module:
     def __init__(self, name: str, code: str):
         self.name, self.code = name, code
         tree = safe_parse(code)
-        self.nodes = _leaves(tree.body) if tree else []
-        self.texts = [ast.get_source_segment(code, n) or ast.unparse(n) for n in self.nodes]
+        leaves = _leaves(tree.body) if tree else []
+        self.nodes = [n for n, _, _ in leaves]
+        self.texts = [(ast.get_source_segment(code, n) if hasattr(n, "lineno") else None) or ast.unparse(n) for n in self.nodes]
+        self.above = [(reads, set(binds)) for _, reads, binds in leaves]
         self.binds = [_bound(n) for n in self.nodes]
         self.late = [isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) for n in self.nodes]
+        self.main = [_is_main(n) for n in self.nodes]
         self.places: dict[str, list[int]] = {}
         for i, names in enumerate(self.binds):
             for n in names:
                 self.places.setdefault(n, []).append(i)
 
+    def reads(self, i: int) -> list[str]:
+        """Names that a statement and the headers above it read and do not bind."""
+        above, given = self.above[i]
+        return sorted({*free_names(self.texts[i]), *above} - given)
+
     def definition(self, name: str, before: int, late: bool) -> int | None:
         """The last binding of a name; for statements that run at once only earlier ones count."""
         at = [i for i in self.places.get(name, ()) if late or i < before]
@@ -82,7 +116,7 @@ class Repository:
     def needs(self, module: str, i: int) -> list[tuple[str, int]]:
         """Statements that statement ``i`` depends on directly."""
         m, out = self.modules[module], []
-        for name in free_names(m.texts[i]):
+        for name in m.reads(i):
             j = m.definition(name, i, m.late[i])
             if j is None:
                 j = next((k for k, n in enumerate(m.nodes) if isinstance(n, ast.ImportFrom) and any(a.name == "*" for a in n.names)), None)
@@ -118,12 +152,18 @@ class Repository:
                 stack.append((nxt, iter(self.needs(*nxt)), level + 1))
         return order
 
-    def render(self, nodes: list[tuple[str, int]], last: str) -> str:
-        """One fenced block for each file in order of first need, statements in file order, the own file last."""
+    def render(self, nodes: list[tuple[str, int]], last: str, cut: frozenset[str] = frozenset()) -> str:
+        """One fenced block for each file in order of first need, the own file last.
+
+        Statements stand in file order, but the target (the last node) behind all others of
+        its file and a main guard behind that.  Blocks of files in ``cut`` end with a mark.
+        """
+        target = nodes[-1] if nodes else None
         files = [f for f in dict.fromkeys(m for m, _ in nodes) if f != last] + ([last] if any(m == last for m, _ in nodes) else [])
         blocks = []
         for f in files:
-            rows = [self.modules[f].texts[i] for i in sorted(i for m, i in nodes if m == f)]
+            order = sorted((i for m, i in nodes if m == f), key=lambda i: (self.modules[f].main[i], (f, i) == target, i))
+            rows = [self.modules[f].texts[i] for i in order] + (["# ..."] if f in cut else [])
             blocks.append(f"```python\n## {f.replace('.', '/')}.py\n" + "\n".join(rows) + "\n```")
         return "\n".join(blocks)
 
@@ -183,9 +223,11 @@ def contexts(files: DataFrame, targets: DataFrame, kind: str = "sliced", budget:
             nodes = repo.slice(module, name, 0 if kind == "naive" else depth)
             if kind == "full":
                 nodes = [(f, i) for f in dict.fromkeys(m for m, _ in nodes) for i in range(len(repo.modules[f].nodes))]
+            cut: frozenset[str] = frozenset()
             if nodes and budget is not None:
-                nodes = repo.shortened(nodes, module, budget)
-            rows.append((key[0], module, name, repo.render(nodes, module) if nodes else None))
+                short = repo.shortened(nodes, module, budget)
+                cut, nodes = frozenset(m for m, _ in set(nodes) - set(short)), short
+            rows.append((key[0], module, name, repo.render(nodes, module, cut) if nodes else None))
         return pd.DataFrame(rows, columns=["repo_id", "module", "name", "context"])
 
     return files.groupBy("repo_id").cogroup(targets.groupBy("repo_id")).applyInPandas(run, "repo_id string, module string, name string, context string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import codetext as C
 from quarry.functions.fences import block_rows, blocks
+from quarry.functions.pyast import free_names
 from quarry.operators import evaluation, slicing
 from quarry.plans.queries import QUERIES
 from quarry.sources.external import RepoSearch
@@ -22,11 +23,25 @@ FILES = {
 def test_slice_follows_imports_and_cycles():
     r = slicing.Repository(FILES)
     nodes = r.slice("p.a", "f")
-    assert nodes[-1] == ("p.a", 4) and ("p.a", 3) not in nodes and ("p.b", 1) in nodes and ("p.b", 0) not in nodes
+    assert nodes[-1] == ("p.a", 5) and ("p.a", 4) not in nodes and ("p.b", 1) in nodes and ("p.b", 0) not in nodes
     assert r.calls() == [("p.a.f", "p.b.K"), ("p.a.f", "p.b.g"), ("p.b.g", "p.b.h"), ("p.b.h", "p.b.g")]
     assert r.slice("p.a", "missing") == [] and r.slice("p.broken", "f") == []
-    assert r.slice("p.a", "f", 0) == [("p.a", 4)]
-    assert r.shortened(nodes, "p.a", 0) == [("p.a", 4)] and r.shortened(nodes, "p.a", 10**6) == nodes
+    assert r.slice("p.a", "f", 0) == [("p.a", 5)]
+    assert r.shortened(nodes, "p.a", 0) == [("p.a", 5)] and r.shortened(nodes, "p.a", 10**6) == nodes
+
+
+def test_headers_matches_and_marks():
+    code = "import a, b as c\nfrom d import e, g\nN = 1\nfor x in e(N):\n    with g(x) as h:\n        V = h\nmatch c:\n    case 1 if a:\n        W = 2\nif __name__ == '__main__':\n    f()\ndef f():\n    return V, W\n"
+    r = slicing.Repository({"m": code})
+    m = r.modules["m"]
+    assert [t for t in m.texts[:4]] == ["import a", "import b as c", "from d import e", "from d import g"] and m.main.count(True) == 1
+    v, w = (next(i for i, b in enumerate(m.binds) if b == [n]) for n in "VW")
+    assert m.reads(v) == ["N", "e", "g"] and m.reads(w) == ["a", "c"]
+    nodes = r.slice("m", "f")
+    text = r.render(nodes, "m", frozenset(["m"]))
+    assert text.index("from d import e") < text.index("V = h") < text.index("def f") < text.index("# ...") and "import a" in text
+    assert free_names("def f(y):\n    z = 1\n    return z + w\nq = z") == ["w", "z"] and free_names("x += 1") == ["x"]
+    assert free_names("def f(a: 'T') -> U:\n    return [a for a in b]") == ["T", "U", "b"]
 
 
 def test_contexts(spark):
@@ -65,6 +80,12 @@ def test_evaluation(spark):
     assert evaluation.matching(["human*", "m*"]) == ["humaneval", "mbpp"]
     task = evaluation.TASKS["humaneval"]()
     assert spark.range(1).select(task.postprocess(F.lit("```python\nx = 1\nprint(2)\n```"))).first()[0] == "x = 1"
+    rows = spark.createDataFrame([("do it", ["assert f()", "assert g()"])], "text string, test_list array<string>")
+    mbpp = evaluation.TASKS["mbpp"]()
+    assert rows.select(mbpp.prompt(), mbpp.reference()).first()[:] == ('"""\ndo it\nassert f()\n"""\n', "assert f()\nassert g()")
+    assert spark.range(1).select(evaluation.TASKS["ds1000"]().postprocess(F.lit("x BEGIN SOLUTION\n```python\ny = 1\n</code>\n```"))).first()[0] == "y = 1\n"
+    lcb = spark.createDataFrame([("Q", None), ("Q", "class S: pass")], "question_content string, starter_code string").select(evaluation.TASKS["live_code_bench"]().prompt()).collect()
+    assert "standard input" in lcb[0][0] and "class S" in lcb[1][0]
     res = spark.createDataFrame([("a", True), ("a", False), ("b", None), ("b", True)], "task_id string, passed boolean")
     assert {r["k"]: r["pass_at_k"] for r in task.score(res, [1, 2]).collect()} == {1: 0.5, 2: 1.0}
     runs = spark.createDataFrame([(1, True, 2, 0, 0, 80.0), (1, False, 0, 2, 0, None), (2, None, None, None, None, None)], "id int, valid boolean, passed int, failed int, errored int, branch_coverage double")
