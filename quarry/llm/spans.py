@@ -44,9 +44,10 @@ from quarry.plans.sized import keep_keys
 from quarry.workspace import Workspace, delete, finished_tables
 
 GRAM = 120
-FANOUT = 4
+#: Runs of a level that are compacted; an index for many batches rewrites less with more.
+FANOUT = 2
 #: One more than FANOUT, so that the last batch meets a compacted run.
-BATCHES = 5
+BATCHES = 3
 CROWD = 32
 #: Most keys that are broadcast (about 8 MB).
 MOST_KEYS = 200_000
@@ -347,10 +348,10 @@ def window_pairs(windows: DataFrame, ws: Workspace) -> DataFrame:
 @dataclass
 class Shared:
     """Spans in common: ``links(a, b, ranges_a, ranges_b)`` of pairs of texts, ``windows(id, pos, wa, wb, before)``
-    that stand in two texts or more, and ``members(rep, id, fresh)`` of each text."""
+    that stand in two texts or more (none where no hash is crowded), and ``members(rep, id, fresh)`` of each text."""
 
     links: DataFrame
-    windows: DataFrame
+    windows: DataFrame | None
     members: DataFrame
     length: int
 
@@ -407,10 +408,12 @@ def shared_spans(
     ids = ws.save(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     links = ws.save(verified(found, texts, ids, length), "links")
     marks = ws.save(index.crowd_rows().groupBy("id").agg(F.collect_set("h").alias("grams")), "marks")
-    wanted = keep_keys(texts.select("id", "text"), marks.select("id"), ["id"]).join(marks, "id")
-    windows = ws.save(crowded_windows(wanted, length, gram), "every_window")
-    two = windows.groupBy("wa", "wb").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("wa", "wb")
-    windows = ws.save(windows.join(two, ["wa", "wb"], "left_semi"), "windows")
+    windows = None
+    if not marks.isEmpty():
+        wanted = keep_keys(texts.select("id", "text"), marks.select("id"), ["id"]).join(marks, "id")
+        windows = ws.save(crowded_windows(wanted, length, gram), "every_window")
+        two = windows.groupBy("wa", "wb").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("wa", "wb")
+        windows = ws.save(windows.join(two, ["wa", "wb"], "left_semi"), "windows")
     own = members.select("rep", "id", F.lit(True).alias("fresh"))
     if index_path:
         index.append("members", members.select(*key, "rep", "id"))
@@ -426,7 +429,9 @@ def span_pairs(shared: Shared) -> DataFrame:
     """Pairs of records ``(record_id_a, record_id_b)``, a < b, with a common span, one of them new."""
     members = shared.members
     ws = Workspace(members.sparkSession, "pairs")
-    linked = ws.save(shared.links.select("a", "b").unionByName(window_pairs(shared.windows, ws)).distinct(), "linked")
+    linked = shared.links.select("a", "b")
+    if shared.windows is not None:
+        linked = ws.save(linked.unionByName(window_pairs(shared.windows, ws)).distinct(), "linked")
     crowd = ws.save(members.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").select("rep"), "crowd")
     copies = members.join(crowd, "rep", "left_semi")
     turned = lambda rep, n, df: df.select(F.col("rep").alias(rep), F.col("id").alias(n), F.col("fresh").alias(f"fresh_{n}"))
@@ -446,7 +451,9 @@ def shared_share(shared: Shared, records: DataFrame, text_col: str = "orig_conte
     links, members = shared.links, shared.members
     ends = F.array(F.struct(F.col("a").alias("rep"), F.col("ranges_a").alias("ranges")), F.struct(F.col("b").alias("rep"), F.col("ranges_b").alias("ranges")))
     ranges = links.select(F.explode(ends).alias("e")).select("e.rep", F.explode("e.ranges").alias("r")).select("rep", "r.start", "r.stop")
-    ranges = ranges.unionByName(shared.windows.select(F.col("id").alias("rep"), F.col("pos").alias("start"), (F.col("pos") + F.lit(shared.length)).alias("stop"))).distinct()
+    if shared.windows is not None:
+        ranges = ranges.unionByName(shared.windows.select(F.col("id").alias("rep"), F.col("pos").alias("start"), (F.col("pos") + F.lit(shared.length)).alias("stop")))
+    ranges = ranges.distinct()
     before = W.partitionBy("rep").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
     seen = F.coalesce(F.max("stop").over(before), F.lit(0))
     fresh = ranges.select("rep", F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), seen)).alias("fresh"))
