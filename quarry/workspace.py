@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -56,13 +57,14 @@ class Workspace:
     """A folder of written tables that belong to one operator call.
 
     ``save`` writes and reads back; ``drop`` deletes a table that no later step
-    reads.  Tables that a returned DataFrame still reads live until the session's
-    checkpoint folder is cleaned.
+    reads.  Tables that a returned DataFrame still reads live until ``clean_up`` or until
+    the session's checkpoint folder is cleaned.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+        _MADE.setdefault(spark.sparkContext.applicationId, []).append(self.path)
 
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = f"{self.path}/{name}"
@@ -74,3 +76,14 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         delete(self.spark, f"{self.path}/{name}")
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Deletes all tables that workspaces of this application wrote, and says of how many workspaces.
+
+    For the end of a job: results that were not stored elsewhere cannot be read afterwards.
+    """
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        delete(spark, path)
+    return len(made)

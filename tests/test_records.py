@@ -283,3 +283,14 @@ def test_whole_package_works_without_the_optional_part(tmp_path):
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "spark-warehouse"))
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(o) <= set(q) and not any(n.startswith('p1_') for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True)
+
+
+def test_clean_up(spark, tmp_path):
+    from quarry import workspace
+
+    ws = Workspace(spark, "t")
+    assert ws.save(spark.range(3), "x").count() == 3
+    old = workspace._MADE.pop(spark.sparkContext.applicationId)
+    workspace._MADE[spark.sparkContext.applicationId] = old[-1:]
+    assert workspace.clean_up(spark) == 1 and not workspace.finished_tables(spark, ws.path)
+    workspace._MADE[spark.sparkContext.applicationId] = old[:-1]
