@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.shingles import mix, sliding_min, winnow
-from quarry.plans.sized import keep_keys
+from quarry.plans.sized import MAX_BROADCAST_ROWS, keep_keys
 from quarry.workspace import Workspace, delete, finished_tables
 
 GRAM = 120
@@ -216,8 +216,9 @@ class SpanIndex:
         met = ws.save(met, f"met{now}") if met is not None else None
         repeated = own.where("k > 1").select("h")
         keys = ws.save(repeated if met is None else repeated.unionByName(met.select("h")).distinct(), f"keys{now}")
-        small = keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS
-        rows = new.join(F.broadcast(keys) if small else keys.repartition(self.buckets, "h"), "h", "left_semi").select("h", "id", "batch")
+        # beyond a few keys they go to the buckets of the run, which stays where it is
+        small = keys.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+        rows = new.join(F.broadcast(keys) if small else keys.repartition(self.buckets, "h").hint("shuffle_hash"), "h", "left_semi").select("h", "id", "batch")
         rows = rows if met is None else rows.unionByName(met)
         rows = rows.withColumn("n", F.count("*").over(W.partitionBy("h")))
         # a crowded hash collects nothing
