@@ -210,8 +210,8 @@ def answers_agree(output: Column, expected: Column) -> Column:
 
 
 def dataset_stats(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows, repositories and mean coverage before and after a filter, one row each."""
+    """Rows, repositories, mean coverage, and rows that were checked by tree or have more than one branch, before and after a filter."""
     def one(name: str, df: DataFrame) -> DataFrame:
-        return df.agg(F.count("*").alias("records"), F.countDistinct("repo").alias("repos"), F.avg(F.when(F.col("coverage_rate") >= 0, F.nanvl("coverage_rate", F.lit(None).cast("double")))).alias("mean_coverage"), F.count_if("sandbox_ast_check").alias("ast_checked")).select(F.lit(name).alias("stage"), "*")
+        return df.agg(F.count("*").alias("records"), F.countDistinct("repo").alias("repos"), F.avg(F.when(F.col("coverage_rate") >= 0, F.nanvl("coverage_rate", F.lit(None).cast("double")))).alias("mean_coverage"), F.count_if("sandbox_ast_check").alias("ast_checked"), F.count_if(F.col("n_branches") > 1).alias("multi_branch")).select(F.lit(name).alias("stage"), "*")
 
     return one("before", before).unionByName(one("after", after))

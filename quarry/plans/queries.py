@@ -423,11 +423,15 @@ def nearest_vectors(s, d):
     return retrieval.nearest(e.where(F.col("vec_id") % 20 == 0), spread(e), 3, "vec_id", "embedding", Workspace(s, "nearest"))
 
 
-@query(f"""WITH b AS (SELECT {REPO} AS repo, coverage_rate, sandbox_ast_check FROM checked_test_set_final)
-SELECT stage, count(*) AS records, count(DISTINCT repo) AS repos, round(avg(CASE WHEN coverage_rate >= 0 AND NOT isnan(coverage_rate) THEN coverage_rate END), 9) AS mean_coverage, count_if(sandbox_ast_check)::BIGINT AS ast_checked
+_BRANCH = r"(?m)^[ \t]*(if|for|while|try)\b"
+
+
+@query(f"""WITH b AS (SELECT {REPO} AS repo, coverage_rate, sandbox_ast_check, len(regexp_extract_all(orig_func, '{_BRANCH}')) AS n_branches FROM checked_test_set_final)
+SELECT stage, count(*) AS records, count(DISTINCT repo) AS repos, round(avg(CASE WHEN coverage_rate >= 0 AND NOT isnan(coverage_rate) THEN coverage_rate END), 9) AS mean_coverage, count_if(sandbox_ast_check)::BIGINT AS ast_checked, count_if(n_branches > 1)::BIGINT AS multi_branch
 FROM (SELECT 'before' AS stage, * FROM b UNION ALL SELECT 'after', * FROM b WHERE coverage_rate >= 0.8 AND NOT isnan(coverage_rate)) GROUP BY stage""")
 def dataset_stats(s, d):
-    b = table(s, d, "checked_test_set_final").select(canonical_repo("repo_name").alias("repo"), "coverage_rate", "sandbox_ast_check")
+    """Statistics of the final set; lines that open a branch stand for branches here."""
+    b = table(s, d, "checked_test_set_final").select(canonical_repo("repo_name").alias("repo"), "coverage_rate", "sandbox_ast_check", F.regexp_count("orig_func", F.lit(_BRANCH)).alias("n_branches"))
     return metrics.dataset_stats(b, b.where(~F.isnan("coverage_rate") & (F.col("coverage_rate") >= 0.8))).withColumn("mean_coverage", F.round("mean_coverage", 9))
 
 

@@ -313,3 +313,25 @@ def test_partitioning_does_not_matter(spark, partitions):
 
     want = sorted(i for g in range(3) for i in sorted(range(g, 200, 3), key=lambda i: hashlib.md5(f"0|{i}".encode()).hexdigest())[:4])
     assert got == want
+
+
+def test_hot_keys_of_look_ups_are_split(spark):
+    from quarry.plans.sized import look_up
+
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        ws = Workspace(spark, "t")
+        rows = ws.save(spark.range(200_000).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), F.md5(F.col("id").cast("string")).alias("v")).repartition(8), "rows")
+        table = rows.groupBy("k").agg(F.min("v").alias("low"))
+        split = look_up(rows, ws.save(table, "table"), ["k"], max_rows=10)
+        assert split.count() == 200_000
+        joined = split.groupBy().agg(F.max("low"), F.max("v"))
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+        assert look_up(rows, ws.save(table.limit(5), "few"), ["k"]).count() >= 0
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
