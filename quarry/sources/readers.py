@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from quarry import schema as schema_of
+
 #: Readers by file ending.
 FORMATS = {"json": "json", "jsonl": "json", "csv": "csv", "parquet": "parquet", "txt": "text", "arrow": "arrow"}
 
@@ -30,6 +32,14 @@ def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
+def typed_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """JSON records of a known type (``example``, ``final``, ``sft``, ``retrieval`` and so on) with its schema; fields they lack are null."""
+    ddl = getattr(schema_of, kind.upper(), None)
+    if ddl is None:
+        raise ValueError(f"unknown record type {kind}")
+    return json_lines(spark, path, ddl)
+
+
 def arrow_files(spark: SparkSession, path: str) -> DataFrame:
     """Arrow IPC files or streams, read by the executors, a file for each task; the first file gives the schema."""
     files = spark.read.format("binaryFile").load(path).select("content")

@@ -222,6 +222,14 @@ def test_timed_map_and_cache(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/c").count() == 1
 
 
+def test_typed_records(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"instruction": "i", "output": "o"}\n{"idx": "3_1"}\n')
+    df = readers.typed_records(spark, f"{tmp_path}/a.jsonl", "sft")
+    assert df.columns == ["instruction", "input", "output", "idx"] and [r.idx for r in df.collect()] == [None, "3_1"]
+    with pytest.raises(ValueError):
+        readers.typed_records(spark, "", "none")
+
+
 def test_more_sources(spark, tmp_path):
     t = pa.table({"x": [1, 2], "s": ["a", None]})
     for i in range(2):
