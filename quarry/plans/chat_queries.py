@@ -9,6 +9,7 @@ from quarry.functions import text as T
 from quarry.functions.pyast import per_row
 from quarry.operators import chat, evaluation
 from quarry.plans.queries import query, table
+from quarry.workspace import Workspace
 
 QWEN = chat.TEMPLATES["qwen"]
 CUTOFF = 600
@@ -107,6 +108,7 @@ def sft_packed(s, d):
     """Packs of encoded rows: every row that fits stands in one pack as a numbered segment, packs have the full length."""
     t = _two_turns(s, d).select("record_id", chat.encode_supervised(F.col("pairs"), CUTOFF).alias("e"))
     t = t.select(F.expr("record_id div 500").alias("batch"), F.col("record_id").alias("pos"), "e.input_ids", "e.labels")
+    t = Workspace(s, "sft").save(t, "encoded")  # lengths and rows are read apart
     p = chat.packed_supervised(t, "batch", "pos", 1300)
     p = p.withColumn("lengths", chat.segment_lengths(F.col("attention_mask")))
     sizes = [F.size(c) == 1300 for c in ("input_ids", "labels", "attention_mask")]
