@@ -206,14 +206,15 @@ def joined_pieces(text: str, line: int, quote: int) -> list[tuple[int, int]]:
 
 def later_value(text: str, line: str, at: int, stop: int) -> tuple[str, str, list[tuple[int, int]]] | None:
     """``(name, kind, pieces)`` of a value that starts below the line ``text[at:stop]``, if there is one."""
-    m = _LATER.search(line)
+    tail = line.rstrip()
+    m = _LATER.search(line) if tail.endswith(("(", "\\")) or "(" in tail and "#" in tail else None
     if m:
         first = re.compile(r"\s*(?:#[^\n]*\n\s*)*[frbu]{0,2}(?=[\"'])").match(text, stop)
         if first:
             pieces = _in_brackets(text, first.end()) if m.group(3).startswith("(") else joined_pieces(text, first.end(), first.end())
             return (m.group(2), "pair", pieces) if pieces else None
         return None
-    m = _SCALAR.match(line)
+    m = _SCALAR.match(line) if tail[-1:] and tail[-1] in "|>+-0123456789" and ("|" in tail or ">" in tail) else None
     if not m:
         return None
     depth, pieces, here = len(m.group(1)), [], stop + 1
