@@ -200,9 +200,14 @@ def free_names(code: str | None) -> list[str]:
     tree = safe_parse(code)
     if tree is None:
         return []
-    try:
-        top = symtable.symtable(ast.unparse(tree), "<statement>", "exec")
-    except (SyntaxError, ValueError, RecursionError):
+    top = None
+    for make in (lambda: code, lambda: ast.unparse(tree)):
+        try:
+            top = symtable.symtable(make(), "<statement>", "exec")
+            break
+        except (SyntaxError, ValueError, RecursionError):
+            continue
+    if top is None:
         return []
     bound = {x.get_name() for x in top.get_symbols() if x.is_assigned() or x.is_imported() or x.is_namespace()}
     used = {n.target.id for n in tree.body if isinstance(n, ast.AugAssign) and isinstance(n.target, ast.Name)}
